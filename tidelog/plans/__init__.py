@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["problems"]
+THEMES = ["problems", "sequences"]
 
 
 def all_registries():
