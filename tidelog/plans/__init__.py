@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["problems", "sequences"]
+THEMES = ["problems", "sequences", "entities"]
 
 
 def all_registries():
