@@ -51,7 +51,7 @@ def narrow(c: str) -> str:
 
 def spell_out(text: str) -> str:
     """Usual widths, accents apart and in canonical order, without characters that show nothing."""
-    return unicodedata.normalize("NFD", "".join(narrow(c) for c in text if c not in _HIDDEN))
+    return text if text.isascii() else unicodedata.normalize("NFD", "".join(narrow(c) for c in text if c not in _HIDDEN))
 
 
 def fold(text: str) -> str:
@@ -75,13 +75,15 @@ def _script(c: str) -> str | None:
 
 def well_spelled(token: str) -> bool:
     """Whether a token is a spelling to keep: one script, composed accents, usual widths, nothing hidden."""
+    if token.isascii():
+        return True
     plain = spell_out(token)
     return unicodedata.normalize("NFC", plain) == token and len({s for s in map(_script, plain) if s}) <= 1
 
 
 def _rank(token: str, count: int) -> tuple:
     """Sorts the spellings of a class: all Latin first, then the most frequent, then by code points."""
-    return (fold(token) != token or not {s for s in map(_script, spell_out(token)) if s} <= {"LATIN"}, -count, token)
+    return (not token.isascii() and (fold(token) != token or not {s for s in map(_script, spell_out(token)) if s} <= {"LATIN"}), -count, token)
 
 
 class Trie:
@@ -132,9 +134,11 @@ def _char_class(chars: set[str]) -> str:
     return "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges)
 
 
-#: Characters that a settled text doesn't have; letters outside Latin are looked at too, as a spelling may mix scripts.
-_UNSETTLED = _char_class({c for c in _BMP if fold(c) != c or unicodedata.combining(c) or c in _BLANKS or c in _HIDDEN})
-QUERY = f"[{_UNSETTLED}]|[\\p{{L}}&&[^\\p{{IsLatin}}]]"
+# Ranges of letters and signs that have no twin in another script, as first and last code point.
+_PLAIN_RANGES = [(0x80, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+_SETTLED = {chr(c) for a, b in _PLAIN_RANGES for c in range(a, b + 1) if fold(chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and chr(c) not in _BLANKS | _HIDDEN}
+#: A character to look at: one that a settled text doesn't have, or that a spelling may mix with look-alikes.
+QUERY = f"[^\\x00-\\x7F{_char_class(_SETTLED)}]"
 _SPLIT = "[" + _char_class(_BLANKS | set(BREAKS) | {" "}) + "]+"
 
 
@@ -154,10 +158,18 @@ def _bare() -> tuple[str, str]:
 
 def bucket(token: Column, letters: int = 4) -> Column:
     """Equal for tokens that read the same: the first bare letters and the number of them."""
-    bare = F.translate(token, *_bare())
+    bare = F.when(is_ascii(token), token).otherwise(F.translate(token, *_bare()))
     return F.concat_ws(":", F.length(bare).cast("string"), F.substring(bare, 1, letters))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def to_look_at(text: Column) -> Column:
+    return ~is_ascii(text) & text.rlike(QUERY)
+
+
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Canonical spellings of asked tokens; rows come sorted by bucket, so one bucket's trie is held at a time."""
     schema = pa.schema([("token", pa.string()), ("spelling", pa.string())])
@@ -212,7 +224,7 @@ def spellings(docs: DataFrame, text: str, letters: int = 4) -> DataFrame:
     traverses for each token that is not settled; what matches none is normalised by table.
     """
     tokens = docs.select(F.explode(F.split(F.col(text).cast("string"), _SPLIT)).alias("token")).where("token <> ''")
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(bucket(F.col("token"), letters).alias("bucket"), "token", "n", F.col("token").rlike(QUERY).alias("ask"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(bucket(F.col("token"), letters).alias("bucket"), "token", "n", to_look_at(F.col("token")).alias("ask"))
     counted = stage(counted)
     wanted = counted.join(counted.where("ask").select("bucket").distinct(), "bucket", "left_semi")
     return wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spell, "token string, spelling string")
@@ -220,8 +232,8 @@ def spellings(docs: DataFrame, text: str, letters: int = 4) -> DataFrame:
 
 def _changed_texts(docs: DataFrame, text: str, letters: int, salts: int) -> DataFrame:
     """(sha, canonical) of the distinct texts that have characters to look at."""
-    texts = stage(_texts(docs, text).where(F.col("_text").rlike(QUERY)).select(F.col("_sha").alias("sha"), F.col("_text").alias("text")).dropDuplicates(["sha"]))
-    parts = texts.select("sha", F.explode(F.array_distinct(F.split("text", _SPLIT))).alias("token")).where(F.col("token").rlike(QUERY)).withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(salts)).cast("int"))
+    texts = stage(_texts(docs, text).where(to_look_at(F.col("_text"))).select(F.col("_sha").alias("sha"), F.col("_text").alias("text")).dropDuplicates(["sha"]))
+    parts = texts.select("sha", F.explode(F.array_distinct(F.split("text", _SPLIT))).alias("token")).where(to_look_at(F.col("token"))).withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(salts)).cast("int"))
     known = spellings(docs, text, letters).select("token", "spelling", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pairs = parts.join(known, ["token", "salt"]).groupBy("sha").agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
     return texts.join(pairs, "sha", "left").select("sha", "text", "pairs").mapInArrow(_rewrite, "sha binary, canonical string")
