@@ -181,8 +181,12 @@ def parse_frame(frame: Column, seconds: Column | None = None) -> Column:
 
 def pack_words(ws: Column) -> Column:
     """Ten words as the 38 bytes of a frame; bits above the 30 of a word are ignored."""
-    w = lambda i: F.get(ws, F.lit(i)).bitwiseAND(_long(ALL))
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftleft(w(i), 30) + w(i + 1)), 15, "0") for i in range(0, 10, 2)), F.lit("0")))
+
+    def hexed(u: Column) -> Column:
+        w = lambda i: F.get(u, F.lit(i)).bitwiseAND(_long(ALL))
+        return F.concat(*(F.lpad(F.hex(F.shiftleft(w(i), 30) + w(i + 1)), 15, "0") for i in range(0, 10, 2)), F.lit("0"))
+
+    return F.unhex(let(ws, hexed))
 
 
 def encode_frame(message: Column, tow: Column, alert: Column | None = None, complemented: bool = False, inverted: bool = False) -> Column:

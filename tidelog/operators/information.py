@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.text import bytes_of
+from tidelog.session import stage
 
 
 def contexts(payloads: DataFrame, payload_id: str, data: str, max_order: int = 8) -> DataFrame:
     """(id, pos, ord, ctx, sym): each byte with each of the contexts of 0 to ``max_order`` bytes before it."""
-    each = payloads.select(F.col(payload_id).alias("id"), F.col(data).alias("d"), F.posexplode(bytes_of(F.col(data))).alias("pos", "sym"))
+    named = payloads.select(F.col(payload_id).alias("id"), F.col(data).alias("d"))
+    each = named.select("id", "d", F.posexplode(bytes_of(F.col("d"))).alias("pos", "sym"))
     orders = each.select("id", "d", "pos", "sym", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_order), F.col("pos")))).alias("ord"))
     return orders.select("id", "pos", "ord", F.expr("substring(d, pos - ord + 1, ord)").alias("ctx"), "sym")
 
@@ -34,11 +36,8 @@ def leave_one_out_bits(payloads: DataFrame, payload_id: str, data: str, max_orde
     joins the positions of the payloads; the walk down the orders of one position is a group of at most
     ``max_order`` + 1 rows.
     """
-    ids = payloads.select(F.monotonically_increasing_id().alias("u"), F.col(payload_id).alias("id"), F.col(data).alias("d"))
-    from tidelog.session import stage
-
-    ids = stage(ids)
-    ctx = contexts(ids, "u", "d", max_order).withColumnRenamed("id", "u")
+    ids = stage(payloads.select(F.monotonically_increasing_id().alias("u"), F.col(payload_id).alias("id"), F.col(data).alias("payload")))
+    ctx = contexts(ids, "u", "payload", max_order).withColumnRenamed("id", "u")
     nodes = ctx.groupBy("ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("cnt")).groupBy("ord", "ctx").agg(F.collect_list(F.struct("sym", "cnt")).alias("syms"))
     own = ctx.groupBy("u", "ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("mine")).groupBy("u", "ord", "ctx").agg(F.collect_list(F.struct("sym", "mine")).alias("own"))
     at = ctx.join(own, ["u", "ord", "ctx"]).join(nodes, ["ord", "ctx"])

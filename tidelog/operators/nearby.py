@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidelog.functions.timefn import DAY_US, micros
+from tidelog.session import stage
 
 
 def band_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, back_us: int, ahead_us: int, on: Sequence[str] = (), condition: Column | None = None, how: str = "inner") -> DataFrame:
@@ -47,8 +48,6 @@ def first_after(left: DataFrame, right: DataFrame, on: Sequence[str], left_time:
     The two sides are merged in order of time; the next right row is a running minimum from the end, per
     (``on``) key and 64-day slice, plus the first right row of later slices.
     """
-    from pyspark.sql import Window as W
-
     span = 64 * DAY_US
     keys = list(on)
     a = left.select("*", micros(left_time).alias("_t"), F.lit(None).cast("timestamp_ntz").alias(right_time), F.lit(1).alias("_side"))
@@ -68,12 +67,7 @@ def permutation_null(left: DataFrame, right: DataFrame, left_key: Sequence[str],
     Repetition r deals the right times anew: both the rows and the times are ranked by hashes of (r, row) and
     joined on the rank, inside one repetition. Right rows must be few (a dimension); left rows only join.
     """
-    from pyspark.sql import Window as W
-
-    rows = right.withColumn("_id", F.monotonically_increasing_id())
-    from tidelog.session import stage
-
-    rows = stage(rows)
+    rows = stage(right.withColumn("_id", F.monotonically_increasing_id()))
     reps = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
     by = W.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "_id"), "_id")
     times = reps.select("rep", F.row_number().over(by).alias("_rank"), F.col(right_time).alias("_time"))

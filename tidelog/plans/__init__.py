@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["problems", "sequences", "entities"]
+THEMES = ["problems", "sequences", "entities", "behaviour", "payloads"]
 
 
 def all_registries():
