@@ -189,8 +189,9 @@ def pack_words(ws: Column) -> Column:
     return F.unhex(let(ws, hexed))
 
 
-def encode_frame(message: Column, tow: Column, alert: Column | None = None, complemented: bool = False, inverted: bool = False) -> Column:
+def encode_frame(message: Column, tow: Column, alert: Column | None = None, complemented: Column | bool = False, inverted: Column | bool = False) -> Column:
     """A special-message frame of 22 bytes with valid parity; optionally with data bits complemented after a 1, or all bits inverted."""
+    complemented, inverted = (F.lit(x) if isinstance(x, bool) else x for x in (complemented, inverted))
     bits = lambda start, n: extract_bits(message, start, n)
     alert_bit = _long(0) if alert is None else F.when(alert, _long(1)).otherwise(_long(0))
     data = [
@@ -203,8 +204,7 @@ def encode_frame(message: Column, tow: Column, alert: Column | None = None, comp
     empty = F.expr("cast(array() as array<bigint>)")
     last = lambda acc, b: F.coalesce(_bit(F.try_element_at(acc, F.lit(-1)), b), _long(0))
     ws = F.aggregate(F.array(*data), empty, lambda acc, d: F.concat(acc, F.array(with_parity(d, last(acc, 1), last(acc, 0)))))
-    if complemented:
-        ws = clean_words(ws, F.lit(False), True)  # complementing is its own inverse
-    if inverted:
-        ws = F.transform(ws, lambda w: w.bitwiseXOR(_long(ALL)))
-    return pack_words(ws)
+    # complementing is its own inverse
+    sent = let(ws, lambda u: F.when(complemented, clean_words(u, F.lit(False), True)).otherwise(u))
+    flip = F.when(inverted, _long(ALL)).otherwise(_long(0))
+    return pack_words(F.transform(sent, lambda w: w.bitwiseXOR(flip)))

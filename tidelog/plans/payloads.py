@@ -30,8 +30,8 @@ def frames_decoded(spark, sf):
     m = table(spark, sf, "special_messages").select("obs_id", "seconds_of_day", "alert_flag", "raw_bytes")
     at = F.pmod(F.col("seconds_of_day") - F.pmod(F.col("seconds_of_day"), F.lit(6)), F.lit(86_400))  # frames begin every six seconds
     tow = F.pmod((at + 6) / F.lit(6), F.lit(14_400.0)).cast("int")
-    kinds = [bits.encode_frame(F.col("raw_bytes"), tow, F.col("alert_flag"), complemented=c, inverted=i) for c in (False, True) for i in (False, True)]
-    frame = F.when(F.pmod("obs_id", F.lit(4)) == 0, kinds[0]).when(F.pmod("obs_id", F.lit(4)) == 1, kinds[1]).when(F.pmod("obs_id", F.lit(4)) == 2, kinds[2]).otherwise(kinds[3])
+    odd = lambda n: F.pmod(F.floor(F.col("obs_id") / F.lit(n)), F.lit(2)) == 1
+    frame = bits.encode_frame(F.col("raw_bytes"), tow, F.col("alert_flag"), complemented=odd(1), inverted=odd(2))
     frames = stage(m.select("obs_id", "seconds_of_day", at.alias("at"), frame.alias("frame")))  # as a receiver's archive has them
     got = frames.where(bits.may_be_special(F.col("frame"))).select("obs_id", "seconds_of_day", bits.parse_frame(F.col("frame"), F.col("at")).alias("f"))
     return got.select("obs_id", "seconds_of_day", "f.alert_flag", F.hex("f.payload").alias("payload"), "f.subframe_id", "f.page_number", "f.sv_id", "f.parity_ok")
