@@ -86,6 +86,15 @@ def _rank(token: str, count: int) -> tuple:
     return (not token.isascii() and (fold(token) != token or not {s for s in map(_script, spell_out(token)) if s} <= {"LATIN"}), -count, token)
 
 
+#: Words whose reading has more characters, of which a trie would take a node each, are looked up whole by it: the same relation.
+LONG_WORD = 1000
+
+
+def is_long(token: str) -> bool:
+    """Equal for tokens that read the same; normalising lengthens a text to three times its characters at most."""
+    return len(token) > LONG_WORD // 4 and len(fold(token)) > LONG_WORD
+
+
 class Trie:
     """Spelled-out words of a vocabulary; a leaf has the best spelling that ends there."""
 
@@ -156,7 +165,7 @@ def _bare() -> tuple[str, str]:
     return "".join(c for c, _ in change) + "".join(drop), "".join(t for _, t in change)
 
 
-def bucket(token: Column, letters: int = 4) -> Column:
+def bucket(token: Column, letters: int = 6) -> Column:
     """Equal for tokens that read the same: the first bare letters and the number of them."""
     bare = F.when(is_ascii(token), token).otherwise(F.translate(token, *_bare()))
     return F.concat_ws(":", F.length(bare).cast("string"), F.substring(bare, 1, letters))
@@ -175,11 +184,14 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("token", pa.string()), ("spelling", pa.string())])
 
     def close(words: list[tuple[str, int]], asked: list[str]) -> list[tuple[str, str]]:
-        trie = Trie()
+        trie, whole = Trie(), {}
         for w, n in words:
-            trie.add(w, n)
-        pairs = ((a, trie.match(a)) for a in asked)
-        return [(a, fold(a) if m is None else m) for a, m in pairs]
+            if is_long(w):
+                whole[fold(w)] = min(whole.get(fold(w), (_rank(w, n), w)), (_rank(w, n), w))
+            else:
+                trie.add(w, n)
+        found = ((a, whole.get(fold(a), (None, None))[1] if is_long(a) else trie.match(a)) for a in asked)
+        return [(a, fold(a) if m is None else m) for a, m in found]
 
     at, words, asked = None, [], []
     for b in batches:
@@ -216,7 +228,7 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("_text", F.col(text).cast("string")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
 
 
-def spellings(docs: DataFrame, text: str, letters: int = 4) -> DataFrame:
+def spellings(docs: DataFrame, text: str, letters: int = 6) -> DataFrame:
     """(token, spelling) for the tokens of ``docs`` whose canonical spelling is another one.
 
     Tokens of all texts are counted; those in one bucket of first bare letters and length can read the same.
@@ -239,7 +251,7 @@ def _changed_texts(docs: DataFrame, text: str, letters: int, salts: int) -> Data
     return texts.join(pairs, "sha", "left").select("sha", "text", "pairs").mapInArrow(_rewrite, "sha binary, canonical string")
 
 
-def canonical_texts(docs: DataFrame, text: str, output: str = "canonical", letters: int = 4, salts: int = 8) -> DataFrame:
+def canonical_texts(docs: DataFrame, text: str, output: str = "canonical", letters: int = 6, salts: int = 8) -> DataFrame:
     """``docs`` with a column ``output``: one form of each text, equal for all texts that read the same.
 
     No difference to the reader is: the width of a character, an accent stored with its letter or apart,
@@ -252,11 +264,13 @@ def canonical_texts(docs: DataFrame, text: str, output: str = "canonical", lette
     Only texts with characters to look at are rewritten, each distinct one once; ``salts`` spreads the
     occurrences of frequent words.
     """
-    changed = _changed_texts(docs, text, letters, salts).withColumnRenamed("sha", "_sha").withColumnRenamed("canonical", "_canonical")
-    return _texts(docs, text).join(changed, "_sha", "left").withColumn(output, F.coalesce("_canonical", "_text")).drop("_sha", "_canonical", *({"_text"} - {output}))
+    changed = _changed_texts(docs.select(text), text, letters, salts)
+    rows = _texts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).cast("string").alias("_own")), "_own").withColumnRenamed("_sha", "sha")
+    form = F.coalesce("canonical", "_own").alias(output)
+    return rows.join(changed, "sha", "left").select(*(F.col("_row")[c].alias(c) for c in docs.columns if c != output), form)
 
 
-def look_alike_pairs(docs: DataFrame, doc_id: str, text: str, letters: int = 4, salts: int = 8) -> DataFrame:
+def look_alike_pairs(docs: DataFrame, doc_id: str, text: str, letters: int = 6, salts: int = 8) -> DataFrame:
     """(<doc_id>_a, <doc_id>_b), a < b: documents with non-empty texts that differ as stored but read the same.
 
     Texts are compared by the SHA-256 of their canonical forms. First the distinct stored forms of one
