@@ -15,7 +15,7 @@ PATH, SUBJECT = r"(?i)(?:^|/)((\d{4})/\d{3}\.oa1)$", r"SUBJ:.*?(\d{4})\s*$"
 
 def read_advisories(spark: SparkSession, folder: str, suffix: str = "*.oa1", years: list[int] | None = None) -> DataFrame:
     """All records of all files below ``folder``; ``years`` are those of the files."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     records = parse_advisories(files)
     return records if years is None else records.where(F.col("file_year").isin(years))
 
