@@ -207,8 +207,8 @@ def test_leave_one_out_equals_a_walk(spark):
 
 
 def test_probabilities_sum_to_one():
-    walk = [{"ord": 1, "syms": [{"sym": 1, "cnt": 3}, {"sym": 2, "cnt": 1}], "own": []}, {"ord": 0, "syms": [{"sym": s, "cnt": s} for s in (1, 2, 3)], "own": []}]
-    assert abs(sum(2 ** -I._walk_bits(s, walk, 256) for s in range(256)) - 1) < 1e-12
+    walk = [([1, 2], [3, 1], [], []), ([1, 2, 3], [1, 2, 3], [3], [1])]
+    assert abs(sum(2 ** -I.walk_bits(s, walk) for s in range(256)) - 1) < 1e-12
 
 
 def maximal_by_loop(messages, least):

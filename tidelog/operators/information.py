@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions.text import bytes_of
 from tidelog.session import stage
@@ -32,40 +33,49 @@ def leave_one_out_bits(payloads: DataFrame, payload_id: str, data: str, max_orde
     c / (T + q), the escape q / (T + q); symbols that a longer context has seen are excluded. A payload's own
     occurrences are taken off the counts of its contexts. Beyond order 0 the rest of the vocabulary is uniform.
 
-    All relational: the symbols of each context node with their counts are one row (at most 256 entries), which
-    joins the positions of the payloads; the walk down the orders of one position is a group of at most
-    ``max_order`` + 1 rows.
+    The counts of a symbol in its contexts, less the payload's own, tell the longest context that predicts it;
+    only contexts down to that one matter. A context's symbols with their counts are one row (at most 256
+    entries) that joins those positions, and the walk of one position is a group of at most ``max_order`` + 1 rows.
     """
     ids = stage(payloads.select(F.monotonically_increasing_id().alias("u"), F.col(payload_id).alias("id"), F.col(data).alias("payload")))
     ctx = contexts(ids, "u", "payload", max_order).withColumnRenamed("id", "u")
-    nodes = ctx.groupBy("ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("cnt")).groupBy("ord", "ctx").agg(F.collect_list(F.struct("sym", "cnt")).alias("syms"))
-    own = ctx.groupBy("u", "ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("mine")).groupBy("u", "ord", "ctx").agg(F.collect_list(F.struct("sym", "mine")).alias("own"))
-    at = ctx.join(own, ["u", "ord", "ctx"]).join(nodes, ["ord", "ctx"])
-    steps = at.groupBy("u", "pos").agg(F.first("sym").alias("sym"), F.collect_list(F.struct("ord", "syms", "own")).alias("walk")).select("u", "sym", "walk")
+    own = ctx.groupBy("u", "ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("mine"), F.collect_list("pos").alias("at"))  # a payload's positions only
+    counts = own.groupBy("ord", "ctx", "sym").agg(F.sum("mine").alias("cnt"))
+    left = own.join(counts, ["ord", "ctx", "sym"]).select("u", "ord", "ctx", "sym", F.explode("at").alias("pos"), (F.col("cnt") > F.col("mine")).alias("known"))
+    by = W.partitionBy("u", "pos")
+    needed = left.withColumn("down_to", F.coalesce(F.max(F.when(F.col("known"), F.col("ord"))).over(by), F.lit(0))).where("ord >= down_to").select("u", "ord", "ctx", "sym", "pos")
+    nodes = counts.groupBy("ord", "ctx").agg(F.collect_list("sym").alias("syms"), F.collect_list("cnt").alias("cnts"))
+    mine = own.groupBy("u", "ord", "ctx").agg(F.collect_list("sym").alias("own"), F.collect_list("mine").alias("owns"))
+    steps = needed.join(mine, ["u", "ord", "ctx"]).join(nodes, ["ord", "ctx"]).groupBy("u", "pos").agg(F.first("sym").alias("sym"), F.sort_array(F.collect_list(F.struct("ord", "syms", "cnts", "own", "owns")), asc=False).alias("walk"))
 
     @F.arrow_udf("double")
     def bits(sym: pa.Array, walk: pa.Array) -> pa.Array:
-        return pa.array([_walk_bits(s, w, vocabulary) for s, w in zip(sym.to_pylist(), walk.to_pylist())], pa.float64())
+        parts = pa.chunked_array([walk]).combine_chunks() if isinstance(walk, pa.ChunkedArray) else walk
+        nodes = parts.flatten()
+        syms, cnts, own, owns = (nodes.field(n).to_pylist() for n in ("syms", "cnts", "own", "owns"))
+        ends = np.cumsum([0, *parts.value_lengths().to_pylist()]).tolist()
+        each = ([(syms[i], cnts[i], own[i], owns[i]) for i in range(a, b)] for a, b in zip(ends, ends[1:]))
+        return pa.array([walk_bits(s, w, vocabulary) for s, w in zip(sym.to_pylist(), each)], pa.float64())
 
     cost = steps.select("u", bits("sym", "walk").alias("b")).groupBy("u").agg(F.sum("b").alias("bits"))
     return ids.join(cost, "u", "left").select(F.col("id").alias(payload_id), F.coalesce("bits", F.lit(0.0)).alias("bits"))
 
 
-def _walk_bits(symbol: int, walk: list[dict], vocabulary: int) -> float:
-    """-log2 of one symbol's probability from the counts of its contexts, less its payload's own."""
+def walk_bits(symbol: int, walk: list[tuple[list, list, list, list]], vocabulary: int = 256) -> float:
+    """-log2 of one symbol's probability from (symbols, counts, own symbols, own counts) of its contexts, longest first."""
     out, seen = 0.0, set()
-    for node in sorted(walk, key=lambda n: -n["ord"]):
-        mine = {x["sym"]: x["mine"] for x in node["own"]}
-        left = {x["sym"]: c for x in node["syms"] if x["sym"] not in seen and (c := x["cnt"] - mine.get(x["sym"], 0)) > 0}
+    for syms, cnts, own, owns in walk:
+        mine = dict(zip(own, owns))
+        left = {s: n for s, c in zip(syms, cnts) if s not in seen and (n := c - mine.get(s, 0)) > 0}
         if not left:
             continue
         whole = sum(left.values()) + len(left)
         if symbol in left:
-            return out - float(np.log2(left[symbol] / whole))
-        out -= float(np.log2(len(left) / whole))
+            return out - math.log2(left[symbol] / whole)
+        out -= math.log2(len(left) / whole)
         seen |= left.keys()
     rest = vocabulary - len(seen)
-    return out + float(np.log2(rest if rest > 0 else vocabulary))
+    return out + math.log2(rest if rest > 0 else vocabulary)
 
 
 def repeated_substrings(payloads: DataFrame, payload_id: str, data: str, min_length: int = 6, max_length: int = 64) -> DataFrame:

@@ -9,7 +9,7 @@ from tidelog.functions.timefn import from_year_day
 from tidelog.operators import information as I
 from tidelog.plans.base import LOG, log
 from tidelog.plans.registry import Registry, table
-from tidelog.session import stage
+from tidelog.session import spread, stage
 
 R = Registry()
 
@@ -27,7 +27,7 @@ _HEX = "CAST((instr('0123456789ABCDEF', substr(x, 1, 1)) - 1) * 16 + instr('0123
 @R.query("frames_decoded", "SELECT obs_id, seconds_of_day, alert_flag, hex(raw_bytes) AS payload, 4 AS subframe_id, 17 AS page_number, 55 AS sv_id, true AS parity_ok FROM special_messages")
 def frames_decoded(spark, sf):
     """Every message as packed frames, polarity and complementing by row, identified and decoded again."""
-    m = table(spark, sf, "special_messages").select("obs_id", "seconds_of_day", "alert_flag", "raw_bytes")
+    m = spread(table(spark, sf, "special_messages").select("obs_id", "seconds_of_day", "alert_flag", "raw_bytes"))
     at = F.pmod(F.col("seconds_of_day") - F.pmod(F.col("seconds_of_day"), F.lit(6)), F.lit(86_400))  # frames begin every six seconds
     tow = F.pmod((at + 6) / F.lit(6), F.lit(14_400.0)).cast("int")
     odd = lambda n: F.pmod(F.floor(F.col("obs_id") / F.lit(n)), F.lit(2)) == 1
