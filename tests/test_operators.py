@@ -345,3 +345,67 @@ def test_streamed_changes_and_counts(spark, tmp_path):
     (tmp_path / "y").mkdir()
     days = [[(1, at(1), "b"), (1, at(2), "b")], [(1, at(80), "z")], [(1, at(81), "z")]]
     assert [(r.prn, r.observation_count) for r in stream(spark, tmp_path / "y", schema, days, lambda d: stream_daily_counts(d, "prn", "t", "h"), "append")] == [(1, 2)]
+
+
+def test_ingest_keeps_each_message_once(spark):
+    from tidelog.functions import bits
+    from tidelog.operators.ingest import COLUMNS, decode_observations, ingest
+
+    m = [(600, b"HELLO WORLD 1234567890", 1), (600, b"HELLO WORLD 1234567890", 3), (630, b"\x00" * 22, 1)]
+    df = spark.createDataFrame(m, "time int, raw binary, multiplicity int")
+    tow = (F.col("time") / 6).cast("int") + 1
+    frames = df.select("time", "multiplicity", bits.encode_frame(F.col("raw"), tow, None, True, True).alias("navbits"), F.lit(2024).alias("year"), F.lit(100).alias("day_of_year"), F.lit(5).alias("prn"), F.lit(2200).alias("gps_week"), F.lit("f").alias("source_file"))
+    junk = frames.withColumn("navbits", F.unhex(F.repeat(F.lit("AB"), 38))).union(frames.withColumn("navbits", F.lit(None).cast("binary"))).union(frames.withColumn("navbits", F.lit(b"x")))
+    rows = ingest(frames.union(junk)).orderBy("datetime").collect()
+    assert rows[0].asDict().keys() == set(COLUMNS) and [str(r.datetime) for r in rows] == ["2024-04-09 00:10:00", "2024-04-09 00:10:30"]
+    assert [(r.ascii_message, r.multiplicity, r.parity_ok, r.sv_id, r.null_bytes) for r in rows] == [("HELLO WORLD 1234567890", 1, True, 55, 0), ("�" * 22, 1, True, 55, 22)]
+    assert decode_observations(frames.withColumn("year", F.lit(0))).where("datetime is null").count() == 3
+
+
+def test_files_around_the_archive(spark, tmp_path):
+    from tidelog.sources import files as FI
+
+    html = '<a href="?C=N">Name</a> <a href="2020/">2020/</a>  2024-01-02 03:04    -   <a href="a.tar">a.tar</a> </td><td align="right">2024-01-02 03:05  </td><td align="right">1.5K'
+    pages = spark.createDataFrame([(1, html), (2, ""), (3, None)], "id int, html string")
+    got = [(r.id, r.name, str(r.modified), r.bytes, r.is_folder) for r in FI.parse_listing(pages, "html").orderBy("name").collect()]
+    assert got == [(1, "2020/", "2024-01-02 03:04:00", None, True), (1, "a.tar", "2024-01-02 03:05:00", 1536, False)]
+    fits = spark.createDataFrame([(100_000, 91_000), (100_000, 89_000), (2000, 1000)], "a long, b long").select(FI.size_fits(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in fits] == [True, False, True]
+    (tmp_path / "r.md").write_text("Mean: 1,234.5 bits\nnothing\nMean: 7 bits\n")
+    assert [(r.name, r.value) for r in FI.report_values(spark, str(tmp_path / "r.md"), {"mean": r"Mean: ([0-9.,]+) bits"}).collect()] == [("mean", 1234.5), ("mean", 7.0)]
+    import hashlib
+
+    assert [r.sha256 for r in FI.checksums(spark, str(tmp_path), "*.md").collect()] == [hashlib.sha256((tmp_path / "r.md").read_bytes()).hexdigest()]
+    log = observations(spark, "AB").withColumn("year", F.lit(2020))
+    FI.write_log_text(log, str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["[2020-01-01 00:01:40] PRN 05: A", "[2020-01-01 00:03:20] PRN 05: B"]
+    FI.write_observations(log, str(tmp_path / "obs"))
+    FI.write_observations(log, str(tmp_path / "obs"))
+    assert spark.read.parquet(str(tmp_path / "obs")).where("year = 2020").count() == 2
+
+
+def test_reports_are_bounded(spark):
+    from tidelog.plans.reports import REPORTS, markdown_report
+    from tidelog.plans import all_registries
+
+    names = {n for r in all_registries() for n in r.queries}
+    assert all(s in names for r in REPORTS.values() for s in r)
+    text = markdown_report(spark, "/root/testdata/sf0.001", "corpus", rows=3)
+    assert text.startswith("# Corpus") and "Only the first 3 rows" in text
+
+
+def test_netcdf_needs_its_library(spark, tmp_path):
+    from importlib.util import find_spec
+
+    from tidelog.sources.netcdf_files import read_netcdf
+
+    if not find_spec("netCDF4"):
+        with pytest.raises(RuntimeError):
+            read_netcdf(spark, str(tmp_path))
+
+
+def test_staged_tables_are_released(spark):
+    from tidelog.session import release_staged, stage
+
+    assert stage(spark.range(3)).count() == 3
+    release_staged(spark)

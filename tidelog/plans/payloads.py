@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import bits, stats, text as X
 from tidelog.functions.timefn import from_year_day
 from tidelog.operators import information as I
+from tidelog.operators.ingest import ingest
 from tidelog.plans.base import LOG, log
 from tidelog.plans.registry import Registry, table
 from tidelog.session import spread, stage
@@ -37,6 +38,23 @@ def frames_decoded(spark, sf):
     return got.select("obs_id", "seconds_of_day", "f.alert_flag", F.hex("f.payload").alias("payload"), "f.subframe_id", "f.page_number", "f.sv_id", "f.parity_ok")
 
 
+_INGESTED = """
+    SELECT DISTINCT datetime, prn, sha256(raw_bytes) AS message_hash, hex(raw_bytes) AS payload, ascii_message, alert_first AS alert_flag, true AS parity_ok, printable_chars, null_bytes
+    FROM (SELECT *, first_value(alert_flag) OVER (PARTITION BY datetime, prn, raw_bytes ORDER BY source_file, seconds_of_day, multiplicity, alert_flag) AS alert_first FROM special_messages WHERE year > 0 AND day_of_year > 0 AND source_file <> '')
+"""
+
+
+@R.query("observations_ingested", _INGESTED)
+def observations_ingested(spark, sf):
+    """The log made anew from frames of every message whose file is known: decoded, described, each observation once."""
+    m = spread(table(spark, sf, "special_messages").where("year > 0 and day_of_year > 0 and source_file <> ''").select("seconds_of_day", "multiplicity", "alert_flag", "raw_bytes", "year", "day_of_year", "prn", "gps_week", "source_file"))
+    # seconds that a frame can begin at come through; others keep their place in the day by the row's own second
+    tow = F.floor(F.pmod(F.col("seconds_of_day"), F.lit(86_400)) / F.lit(6)).cast("int") + 1
+    frames = stage(m.select(F.col("seconds_of_day").alias("time"), "multiplicity", bits.encode_frame(F.col("raw_bytes"), tow, F.col("alert_flag")).alias("navbits"), "year", "day_of_year", "prn", "gps_week", "source_file"))
+    log = ingest(frames)
+    return log.select("datetime", "prn", "message_hash", F.hex("raw_bytes").alias("payload"), "ascii_message", "alert_flag", "parity_ok", "printable_chars", "null_bytes")
+
+
 @R.query("messages_decoded", "SELECT obs_id, ascii_message FROM special_messages")
 def messages_decoded(spark, sf):
     """Text of the payload bytes by the code page."""
