@@ -11,20 +11,18 @@ def with_neighbour(df: DataFrame, entity: str, order: Sequence[str], columns: di
     """``df`` with the columns {new: old} of the entity's next (or previous) row by ``order``; null at the end.
 
     Equals lead() or lag() over (partition by entity order by ``order``), but a window covers one slice of an
-    entity (its days, where ``slice_by`` isn't given; it must not fall along ``order``). The row beyond a
-    slice's end is the first of the next slice that has rows, of which there is one per slice. ``order`` must
-    be unique per entity for a defined result. Rows with a null entity or null first order column are kept
-    with their own neighbours undefined (null).
+    entity (its days, where ``slice_by`` isn't given; it must not fall along ``order``). Only a slice's outer
+    row looks beyond it: the outer rows, at most two per slice, are a series of their own, so no row is joined
+    and both series come from one shuffle. ``order`` must be unique per entity for a defined result. Rows with
+    a null entity are kept and have no neighbours.
     """
-    cut = F.to_date(order[0]) if slice_by is None else slice_by
-    d = df.withColumn("_slice", cut)
-    w = W.partitionBy(entity, "_slice").orderBy(*order)
+    d = df.withColumn("_slice", F.to_date(order[0]) if slice_by is None else slice_by)
     row = F.struct(*(F.col(old).alias(new) for new, old in columns.items()))
-    inside = (F.lead if forward else F.lag)(row).over(w)
-    edge = (F.min if forward else F.max)(F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), row.alias("_row")))
-    by = W.partitionBy(entity).orderBy("_slice")
-    edges = d.where(F.col(entity).isNotNull() & F.col("_slice").isNotNull()).groupBy(entity, "_slice").agg(edge.alias("_edge"))
-    edges = edges.select(entity, "_slice", (F.lead if forward else F.lag)("_edge").over(by).getField("_row").alias("_beyond"))
-    out = d.withColumn("_inside", inside).join(edges, [entity, "_slice"], "left")
-    picked = {new: F.when(F.col("_inside").isNotNull(), F.col(f"_inside.{new}")).otherwise(F.col(f"_beyond.{new}")) for new in columns}
-    return out.select(*(F.col(c) for c in df.columns), *(c.alias(n) for n, c in picked.items()))
+    step = F.lead if forward else F.lag
+    inside, whole = W.partitionBy(entity, "_slice").orderBy(*order), W.partitionBy(entity).orderBy("_slice", *order)
+    one = F.lit(1)
+    seen = d.withColumns({"_near": step(row).over(inside), "_first": F.lag(one).over(inside).isNull(), "_last": F.lead(one).over(inside).isNull()})
+    outer = "_last" if forward else "_first"
+    edges = seen.where("_first or _last").withColumn("_near", step(row).over(whole)).where(outer)
+    both = seen.where(f"not {outer}").unionByName(edges)
+    return both.select(*(F.col(c) for c in df.columns), *(F.when(F.col(entity).isNotNull(), F.col(f"_near.{new}")).alias(new) for new in columns))

@@ -39,17 +39,17 @@ _METRICS = CHANGES + f""",
         UNION ALL SELECT w.period_start, 'weekly', sp.prn, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sp JOIN (SELECT DISTINCT period_start FROM ww) w ON w.period_start > sp.a AND w.period_start < sp.b
             WHERE NOT EXISTS (SELECT 1 FROM ww WHERE ww.prn = sp.prn AND ww.period_start = w.period_start))
     SELECT period_start, granularity, prn, CAST(obs AS BIGINT) AS observation_count, CAST(changes AS BIGINT) AS transition_count, CAST(uniq AS BIGINT) AS unique_message_count, round(ent / nullif(obs, 0) + 1e-10, 6) AS mean_entropy,
-           round(sent / nullif(obs, 0), 6) AS sentinel_fraction, round(txt / nullif(obs, 0), 6) AS text_fraction, CAST(active AS BIGINT) AS active_prn_count, round(held, 6) AS mean_duration_hours FROM al
+           round(sent / nullif(obs, 0), 6) AS sentinel_fraction, round(txt / nullif(obs, 0), 6) AS text_fraction, CAST(active AS BIGINT) AS active_prn_count, round(held + 1e-10, 6) AS mean_duration_hours FROM al
 """
-_ROUNDED = ["sentinel_fraction", "text_fraction", "mean_duration_hours"]
+_ROUNDED = ["sentinel_fraction", "text_fraction"]
+_MEANS = ["mean_entropy", "mean_duration_hours"]
 
 
 @R.query("behavioral_metrics", _METRICS)
 def behavioral_metrics(spark, sf):
     m = computed(spark, sf)
-    # entropies have six decimals, so means lie exactly between two; the nudge makes sums in any order round alike
-    nudged = F.round(F.col("mean_entropy") + 1e-10, 6).alias("mean_entropy")
-    return m.select(*(nudged if c == "mean_entropy" else r6(c) if c in _ROUNDED else F.col(c) for c in m.columns))
+    # entropies have six decimals and times are whole seconds, so means lie exactly between two; the nudge makes sums in any order round alike
+    return m.select(*(F.round(F.col(c) + 1e-10, 6).alias(c) if c in _MEANS else r6(c) if c in _ROUNDED else F.col(c) for c in m.columns))
 
 
 _GIVEN = "WITH g AS (SELECT CAST(period_start AS DATE)::TIMESTAMP AS period_start, granularity, prn, max(observation_count) AS observation_count, max(transition_count) AS transition_count, max(active_prn_count) AS active_prn_count FROM behavioral_metrics GROUP BY 1, 2, 3)"

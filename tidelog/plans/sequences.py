@@ -11,6 +11,8 @@ from tidelog.plans.registry import Registry
 
 R = Registry()
 r6 = lambda c: F.round(c, 6).alias(c)
+#: Means of entropies and times can lie exactly between two roundings; the nudge makes sums in any order round alike.
+mean6 = lambda c: F.round(F.col(c) + 1e-10, 6).alias(c)
 
 
 @R.query("observation_steps", STEPS + "SELECT prn, from_hash, to_hash, transition_time, round(duration_hours, 6) AS duration_hours FROM steps WHERE to_hash IS NOT NULL")
@@ -51,7 +53,6 @@ def messages_by_date_range(spark, sf):
 def day_of_week_year(spark, sf):
     from tidelog.functions.timefn import day_of_week
 
-    # entropies have six decimals, so means lie exactly between two; the nudge makes sums in any order round alike
     g = log(spark, sf, "entropy").groupBy(day_of_week("datetime").alias("day_of_week"), F.year("datetime").alias("y"))
     return g.agg(F.count(F.lit(1)).alias("observation_count"), F.count_distinct("message_hash").alias("unique_messages"), F.round(F.avg("entropy") + 1e-10, 6).alias("avg_entropy"))
 
@@ -68,11 +69,11 @@ def day_of_week_patterns(spark, sf):
 
 @R.query(
     "time_of_day_patterns",
-    STEPS + "SELECT CAST(extract(hour FROM transition_time) AS INTEGER) AS hour, count(*) AS transition_count, round(avg(duration_hours), 6) AS avg_duration_hours, count(DISTINCT from_hash) AS unique_messages "
+    STEPS + "SELECT CAST(extract(hour FROM transition_time) AS INTEGER) AS hour, count(*) AS transition_count, round(avg(duration_hours) + 1e-10, 6) AS avg_duration_hours, count(DISTINCT from_hash) AS unique_messages "
     "FROM steps WHERE to_hash IS NOT NULL GROUP BY 1",
 )
 def time_of_day_patterns(spark, sf):
-    return T.time_of_day_patterns(steps(spark, sf)).withColumn("avg_duration_hours", F.round("avg_duration_hours", 6))
+    return T.time_of_day_patterns(steps(spark, sf)).withColumn("avg_duration_hours", mean6("avg_duration_hours"))
 
 
 @R.query(
@@ -85,11 +86,11 @@ def half_hour_profile(spark, sf):
 
 @R.query(
     "weekly_durations",
-    STEPS + "SELECT prn, date_trunc('week', transition_time)::TIMESTAMP AS week, round(avg(duration_hours), 6) AS avg_duration, round(stddev_samp(duration_hours), 6) AS std_duration, count(*) AS num_transitions "
+    STEPS + "SELECT prn, date_trunc('week', transition_time)::TIMESTAMP AS week, round(avg(duration_hours) + 1e-10, 6) AS avg_duration, round(stddev_samp(duration_hours) + 1e-10, 6) AS std_duration, count(*) AS num_transitions "
     "FROM steps WHERE to_hash IS NOT NULL GROUP BY 1, 2",
 )
 def weekly_durations(spark, sf):
-    return T.weekly_durations(steps(spark, sf)).select("prn", "week", r6("avg_duration"), r6("std_duration"), "num_transitions")
+    return T.weekly_durations(steps(spark, sf)).select("prn", "week", mean6("avg_duration"), mean6("std_duration"), "num_transitions")
 
 
 @R.query("rotation_shifts")
@@ -101,13 +102,13 @@ def rotation_shifts(spark, sf):
 
 @R.query(
     "duration_distribution",
-    STEPS + "SELECT round(avg(duration_hours), 6) AS mean_hours, round(stddev_samp(duration_hours), 6) AS std_hours, round(min(duration_hours), 6) AS min_hours, round(max(duration_hours), 6) AS max_hours, "
+    STEPS + "SELECT round(avg(duration_hours) + 1e-10, 6) AS mean_hours, round(stddev_samp(duration_hours) + 1e-10, 6) AS std_hours, round(min(duration_hours), 6) AS min_hours, round(max(duration_hours), 6) AS max_hours, "
     + ", ".join(f"round(quantile_cont(duration_hours, {q}), 6) AS p{int(q * 100)}_hours" for q in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
     + ", count(*) AS num_transitions FROM steps WHERE to_hash IS NOT NULL",
 )
 def duration_distribution(spark, sf):
     d = T.duration_distribution(steps(spark, sf))
-    return d.select(*(r6(c) for c in d.columns if c != "num_transitions"), "num_transitions")
+    return d.select(*(mean6(c) if c in ("mean_hours", "std_hours") else r6(c) for c in d.columns if c != "num_transitions"), "num_transitions")
 
 
 _PERIODIC = """,
