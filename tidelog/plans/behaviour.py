@@ -201,3 +201,45 @@ def changes_near_advisories(spark, sf):
 
     c = message_changes(steps(spark, sf)).select(F.col("prn").alias("nanu_prn"), "transition_time")
     return N.band_join(c, advisories(spark, sf).where("nanu_prn is not null"), "transition_time", "msg_datetime", DAY_US, DAY_US, ["nanu_prn"]).groupBy("nanu_id", "nanu_prn").agg(F.count(F.lit(1)).alias("changes"))
+
+
+@R.query("change_point_match_rate")
+def change_point_match_rate(spark, sf):
+    """Change points (by time, entity and metric) with an advisory nearby, and all of them."""
+    keys = ["detected_at", "prn", "metric"]
+    hit = change_point_advisories(spark, sf).select(*(F.col(f"cp_{k}").alias(k) for k in keys)).distinct().withColumn("hit", F.lit(1))
+    return change_points(spark, sf).select(*keys).distinct().join(hit, keys, "left").agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total"))
+
+
+@R.query(
+    "rotation_rate",
+    "WITH w AS (SELECT CAST(period_start AS DATE) AS day, prn, max(unique_message_count) AS u, max(transition_count) AS t FROM behavioral_metrics WHERE granularity = 'weekly' AND prn <> 0 GROUP BY 1, 2) "
+    "SELECT strftime(day, '%Y-%m') AS month, count(*) AS prn_weeks, round(7 / nullif(avg(u), 0), 6) AS days_per_message, round(avg(t / nullif(u, 0)), 6) AS changes_per_message FROM w WHERE u IS NOT NULL GROUP BY 1",
+)
+def rotation_rate(spark, sf):
+    """Per month: the days that a payload lasts by the number of distinct ones a week, and changes per payload."""
+    w = given(spark, sf).where("granularity = 'weekly' and prn <> 0 and unique_message_count is not null")
+    u, t = F.col("unique_message_count"), F.col("transition_count")
+    return w.groupBy(F.date_format("period_start", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("prn_weeks"), F.round(F.try_divide(F.lit(7.0), F.avg(u)), 6).alias("days_per_message"), F.round(F.avg(F.try_divide(t.cast("double"), u)), 6).alias("changes_per_message")
+    )
+
+
+@R.query(
+    "weekly_spread",
+    "WITH w AS (SELECT CAST(period_start AS DATE) AS day, prn, max(observation_count) AS n FROM behavioral_metrics WHERE granularity = 'weekly' AND prn <> 0 GROUP BY 1, 2) "
+    "SELECT day, count(n) AS prns, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS deviation FROM w GROUP BY day",
+)
+def weekly_spread(spark, sf):
+    w = given(spark, sf).where("granularity = 'weekly' and prn <> 0")
+    return w.groupBy(F.to_date("period_start").alias("day")).agg(F.count("observation_count").alias("prns"), F.round(F.avg("observation_count"), 6).alias("mean"), F.round(F.stddev_samp("observation_count"), 6).alias("deviation"))
+
+
+@R.query(
+    "advisories_listed",
+    "SELECT nanu_id, msg_datetime, prn, nanu_type FROM (SELECT DISTINCT nanu_id, msg_datetime, prn, nanu_type FROM nanu_records WHERE nanu_type = 'UNUSABLE') ORDER BY msg_datetime NULLS LAST, nanu_id, prn NULLS LAST LIMIT 100",
+)
+def advisories_listed(spark, sf):
+    """The first hundred advisories of one type."""
+    a = table(spark, sf, "nanu_records").where("nanu_type = 'UNUSABLE'").select("nanu_id", "msg_datetime", "prn", "nanu_type").distinct()
+    return a.orderBy(F.col("msg_datetime").asc_nulls_last(), "nanu_id", F.col("prn").asc_nulls_last()).limit(100)

@@ -250,3 +250,13 @@ def entropy_zscores(spark, sf):
 @R.query("entropy_peak", LOG + ", b AS (SELECT floor(entropy / 0.5) AS bin, count(*) AS n FROM log WHERE entropy IS NOT NULL GROUP BY 1) SELECT round(max(n) / (sum(n) * 0.5), 6) AS peak_density FROM b")
 def entropy_peak(spark, sf):
     return I.peak_density(log(spark, sf, "entropy"), "entropy").select(F.round("peak_density", 6).alias("peak_density"))
+
+
+_TEXT_BYTES = LOG + f", d AS (SELECT DISTINCT starts_with(ascii_message, 'TEXT') AS t, hex(raw_bytes) AS h FROM log), b AS (SELECT DISTINCT t, substr(h, 2 * p - 1, 2) AS x FROM d, generate_series(1, 22) AS g(p)) "
+
+
+@R.query("bytes_outside_texts", _TEXT_BYTES + f"SELECT {_HEX} AS byte FROM (SELECT x FROM b WHERE NOT t EXCEPT SELECT x FROM b WHERE t)")
+def bytes_outside_texts(spark, sf):
+    """Bytes of other payloads that no text payload has."""
+    d = log(spark, sf, "raw_bytes", "ascii_message").select(F.startswith("ascii_message", F.lit("TEXT")).alias("t"), "raw_bytes").distinct()
+    return I.byte_histogram(d.where("not t"), "raw_bytes").select("byte").join(I.byte_histogram(d.where("t"), "raw_bytes"), "byte", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -29,7 +31,7 @@ def build_session(app: str = "tidelog", master: str | None = None, partitions: i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. In a local session without one, a temporary folder is made and kept.
+    """The folder named in spark.checkpoint.dir. In a local session without one, a temporary folder is made for the life of the process.
 
     A cluster without the setting is an error: a folder of one machine would be lost with it.
     """
@@ -37,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-tidelog-")
+        made = tempfile.mkdtemp(prefix="spark-tidelog-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        at = "file://" + made
         spark.conf.set("tidelog.shared.dir", at)
     return at.rstrip("/")
 
