@@ -87,11 +87,11 @@ def _value_counts(df: DataFrame, value: str, group: str, first, second) -> DataF
     return df.where(F.col(value).isNotNull() & g.isin(first, second)).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.when(g == first, 1)).alias("a"), F.count(F.when(g == second, 1)).alias("b"))
 
 
-def _running(counts: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
-    """Running totals over all values in order, without one task for all: value ranges first, then inside each range."""
-    edges = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    lo, width = edges["lo"] or 0.0, ((edges["hi"] or 0.0) - (edges["lo"] or 0.0)) / buckets or 1.0
-    cut = counts.withColumn("bucket", F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)))
+def _running(counts: DataFrame, columns: list[str], ranges: int = 200) -> DataFrame:
+    """Running totals over all values in order, without one task for all: ranges of about equal size first, then inside each."""
+    marks = counts.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000).alias("m")).first()["m"] or []  # at most 199 numbers
+    edges = F.array(*(F.lit(float(m)) for m in sorted(set(marks)))) if marks else F.array(F.lit(0.0))
+    cut = counts.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("v"))))
     by = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = cut.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).select("bucket", *(F.coalesce(F.sum(c).over(by), F.lit(0)).alias(f"{c}_base") for c in columns))
     inside = W.partitionBy("bucket").orderBy("v")

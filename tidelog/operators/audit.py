@@ -7,15 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def deliveries_by_source(messages: DataFrame, identifier: dict[str, Column | str], row_id: str, source: str) -> DataFrame:
+    """(identifier, source, deliveries, first_id): how often each source has delivered each message, and first when."""
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in identifier.items()]
+    return messages.select(*keys, F.col(source), F.col(row_id)).groupBy(*identifier, source).agg(F.count(F.lit(1)).alias("deliveries"), F.min(row_id).alias("first_id"))
+
+
 def identical_deliveries(messages: DataFrame, identifier: dict[str, Column | str], row_id: str, source: str, max_sources: int = 1000) -> DataFrame:
     """Identifiers delivered more than once: (identifier, occurrence_count, distinct_sources, source_files).
 
     Sources are counted per identifier first; ``source_files`` lists the distinct ones in order of their first
-    delivery and is null where there are more than ``max_sources`` of them, so that no row grows without bound.
+    delivery and is null where there are more than ``max_sources`` of them, so that no row grows without bound:
+    those are rows of :func:`deliveries_by_source`.
     """
-    rows = messages.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in identifier.items()), F.col(source).alias("_s"), F.col(row_id).alias("_id"))
     keys = list(identifier)
-    per_source = rows.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    per_source = deliveries_by_source(messages, identifier, row_id, source).withColumnsRenamed({source: "_s", "deliveries": "_n", "first_id": "_first"})
     several = per_source.groupBy(*keys).agg(F.sum("_n").alias("occurrence_count"), F.count(F.lit(1)).alias("distinct_sources")).where("occurrence_count > 1")
     few = per_source.join(several.where(F.col("distinct_sources") <= max_sources), keys, "left_semi")
     lists = few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_s"))), lambda x: x["_s"]).alias("source_files"))

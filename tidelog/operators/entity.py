@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def entity_payloads(log: DataFrame, entity: str = "prn", time: str = "datetime", payload: str = "message_hash") -> DataFrame:
+    """(entity, payload, observations, first_seen, last_seen): which payloads each entity has, a row for each."""
+    return log.groupBy(entity, payload).agg(F.count(F.lit(1)).alias("observations"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+
+
 def payload_inventory(log: DataFrame, entity: str = "prn", time: str = "datetime", payload: str = "message_hash") -> DataFrame:
-    """Per entity: distinct payloads (number and sorted list), observations, first and last time.
+    """Per entity: number of distinct payloads, observations, first and last time.
 
-    Payloads are counted before they are listed, so the list has one item per distinct payload.
+    The payloads themselves are rows of :func:`entity_payloads`; a list per entity would grow without bound.
     """
-    each = log.groupBy(entity, payload).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("a"), F.max(time).alias("b"))
-    return each.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("unique_messages"), F.sum("n").alias("total_observations"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.sort_array(F.collect_list(payload)).alias("messages")
-    )
+    each = entity_payloads(log, entity, time, payload)
+    return each.groupBy(entity).agg(F.count(F.lit(1)).alias("unique_messages"), F.sum("observations").alias("total_observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def exclusive_payloads(log: DataFrame, max_entities: int = 3, entity: str = "prn", payload: str = "message_hash") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidelog.functions.text import is_sentinel
 from tidelog.functions.timefn import trunc_ntz
 from tidelog.operators.temporal import message_changes, observation_steps
+from tidelog.session import stage
 
 #: The entity number of the fleet's rows.
 FLEET = 0
@@ -45,13 +46,16 @@ def behavioral_metrics(log: DataFrame) -> DataFrame:
     rows also have the number of changes of payload and the mean hours until the next change. The fleet's
     unique messages are the sum over entities. ``log`` has datetime, prn, message_hash, ascii_message, entropy.
     """
-    changes = message_changes(observation_steps(log)).withColumn("period_start", trunc_ntz("week", "transition_time"))
-    per_week = changes.groupBy("period_start", "prn").agg(F.count(F.lit(1)).alias("changes"), F.avg("held_hours").alias("held"))
-    per_week = per_week.withColumn("held", F.when(F.col("held") > 0, F.col("held")))
-    fleet_held = changes.where("held_hours > 0").groupBy("period_start").agg(F.avg("held_hours").alias("held"))
+    changes = message_changes(observation_steps(log)).groupBy(trunc_ntz("week", "transition_time").alias("period_start"), "prn")
+    held, known = F.col("held_hours"), F.col("held_hours") > 0
+    parts = changes.agg(F.count(F.lit(1)).alias("changes"), F.sum(held).alias("s"), F.count(held).alias("n"), F.sum(F.when(known, held)).alias("s0"), F.count(F.when(known, 1)).alias("n0"))
+    parts = stage(parts)  # a row per entity and week, as are the sums below; several branches read them
+    mean = F.try_divide("s", "n")
+    per_week = parts.select("period_start", "prn", "changes", F.when(mean > 0, mean).alias("held"))
+    fleet_held = parts.groupBy("period_start").agg(F.try_divide(F.sum("s0"), F.sum("n0")).alias("held"))
     out = []
     for granularity, unit in (("daily", "day"), ("weekly", "week")):
-        sums = _counts(log, unit)
+        sums = stage(_counts(log, unit))
         own = sums.withColumn("active_prn_count", F.lit(None).cast("long"))
         fleet = sums.groupBy("period_start").agg(*(F.sum(c).alias(c) for c in ("obs", "uniq", "ent", "sent", "txt")), F.count(F.lit(1)).alias("active_prn_count")).withColumn("prn", F.lit(FLEET))
         if unit == "week":

@@ -61,13 +61,16 @@ def first_after(left: DataFrame, right: DataFrame, on: Sequence[str], left_time:
     return out.select(*left.columns, F.coalesce("_next", "_beyond").alias(right_time))
 
 
-def permutation_null(left: DataFrame, right: DataFrame, left_key: Sequence[str], left_time: str, right_time: str, within_us: int, repeats: int, condition: Column | None = None, seed: int = 42) -> DataFrame:
+def permutation_null(left: DataFrame, right: DataFrame, left_key: Sequence[str], left_time: str, right_time: str, within_us: int, repeats: int, condition: Column | None = None, seed: int = 42, max_right: int = 1_000_000) -> DataFrame:
     """(rep, matched): distinct left keys with a right row within reach, for the data (rep 0) and for shuffled right times.
 
     Repetition r deals the right times anew: both the rows and the times are ranked by hashes of (r, row) and
-    joined on the rank, inside one repetition. Right rows must be few (a dimension); left rows only join.
+    joined on the rank, inside one repetition. A repetition is one window, so ``right`` is a dimension: more than
+    ``max_right`` rows are an error. Left rows only join.
     """
     rows = stage(right.withColumn("_id", F.monotonically_increasing_id()))
+    if (n := rows.count()) > max_right:
+        raise ValueError(f"{n} rows to permute, at most {max_right} are meant")
     reps = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
     by = W.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "_id"), "_id")
     times = reps.select("rep", F.row_number().over(by).alias("_rank"), F.col(right_time).alias("_time"))

@@ -15,12 +15,17 @@ r6 = lambda c: F.round(c, 6).alias(c)
 
 @R.query(
     "payload_inventory",
-    LOG + "SELECT prn, count(DISTINCT message_hash) AS unique_messages, count(*) AS total_observations, min(datetime) AS first_seen, max(datetime) AS last_seen, list_sort(list(DISTINCT message_hash)) AS messages FROM log GROUP BY prn",
+    LOG + "SELECT prn, count(DISTINCT message_hash) AS unique_messages, count(*) AS total_observations, min(datetime) AS first_seen, max(datetime) AS last_seen FROM log GROUP BY prn",
 )
 def payload_inventory(spark, sf):
     return E.payload_inventory(log(spark, sf))
 
 
+@R.query("entity_payloads", LOG + "SELECT prn, message_hash, count(*) AS observations, min(datetime) AS first_seen, max(datetime) AS last_seen FROM log GROUP BY prn, message_hash")
+def entity_payloads(spark, sf):
+    return E.entity_payloads(log(spark, sf))
+
+
 @R.query("exclusive_payloads", LOG + "SELECT message_hash, count(DISTINCT prn) AS prn_count, count(*) AS observation_count, list_sort(list(DISTINCT prn)) AS prns FROM log GROUP BY message_hash HAVING count(DISTINCT prn) <= 3")
 def exclusive_payloads(spark, sf):
     return E.exclusive_payloads(log(spark, sf))
@@ -69,6 +74,14 @@ def identical_deliveries(spark, sf):
     return A.identical_deliveries(table(spark, sf, "special_messages"), {"datetime": "datetime", "prn": "prn", "message_hash": F.lower("message_hash")}, "obs_id", "source_file")
 
 
+@R.query(
+    "deliveries_by_source",
+    "SELECT datetime, prn, lower(message_hash) AS message_hash, source_file, count(*) AS deliveries, min(obs_id) AS first_id FROM special_messages GROUP BY 1, 2, 3, 4",
+)
+def deliveries_by_source(spark, sf):
+    return A.deliveries_by_source(table(spark, sf, "special_messages"), {"datetime": "datetime", "prn": "prn", "message_hash": F.lower("message_hash")}, "obs_id", "source_file")
+
+
 @R.query(
     "conflicting_deliveries",
     LOG + ", k AS (SELECT *, first_value(message_hash) OVER w AS existing_hash, first_value(source_file) OVER w AS existing_source, row_number() OVER w AS k FROM log WINDOW w AS (PARTITION BY datetime, prn ORDER BY obs_id)) "
