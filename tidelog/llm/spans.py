@@ -12,11 +12,12 @@ def _repeated(windows: DataFrame, key: list[str], salts: int) -> DataFrame:
 
     Least and greatest record of a window differ exactly if two records hold it, and both combine before the
     shuffle. The way back is salted by record, so that a window in a third of all records is ``salts`` tasks.
+    Names compress so well that Spark would take their tables for small ones and broadcast them: hence the hint.
     """
     shared = windows.groupBy(*key).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b")
     shared = stage(shared.select(*key, F.monotonically_increasing_id().alias("name")))
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return stage(windows.withColumn("salt", F.pmod("rec", F.lit(salts)).cast("int")).join(salted, [*key, "salt"]).select("rec", "pos", "name"))
+    return stage(windows.withColumn("salt", F.pmod("rec", F.lit(salts)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).select("rec", "pos", "name"))
 
 
 def shared_spans(records: DataFrame, rec: str, content: str, min_length: int = 12, start_length: int | None = None, salts: int = 8) -> DataFrame:
@@ -46,7 +47,7 @@ def shared_spans(records: DataFrame, rec: str, content: str, min_length: int = 1
         if length >= min_length:
             tops.append(level.select("rec", F.lit(length).alias("top")).distinct())
         second = level.select("rec", (F.col("pos") - length).alias("pos"), F.col("name").alias("half2"))
-        level = _repeated(level.withColumnRenamed("name", "half1").join(second, ["rec", "pos"]), ["half1", "half2"], salts)
+        level = _repeated(level.withColumnRenamed("name", "half1").join(second.hint("merge"), ["rec", "pos"]), ["half1", "half2"], salts)
         length *= 2
         if length == min_length:
             base = level
