@@ -73,7 +73,7 @@ def mix(
         .select("source", "id", "u", "size", "copy", F.floor((F.col("copy") * F.col("available") + F.col("at")) / F.lit(block)).alias("rank"))
     )
     if slots:
-        mixture = blocks.join(schedule(spark, weights, slots), ["source", "rank"]).select("slot", "source", F.col("id").alias(item), F.col("u").alias("row"), "copy", "size")
+        mixture = blocks.join(schedule(spark, weights, slots).hint("merge"), ["source", "rank"]).select("slot", "source", F.col("id").alias(item), F.col("u").alias("row"), "copy", "size")
     else:
         mixture = blocks.where("false").select(F.col("rank").alias("slot"), "source", F.col("id").alias(item), F.col("u").alias("row"), "copy", "size")
     mixture = stage(mixture)
