@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from tidelog.llm.lookalike import ALIKE, Trie, canonical_texts, fold, look_alike_pairs, well_spelled
 from tidelog.llm.mixing import mix, schedule
 from tidelog.llm.packing import BinTree, first_fit_decreasing, pack
-from tidelog.llm.tokens import count_tokens
+from tidelog.llm.tokens import TOKENIZERS, _encoding, count_tokens, token_count
 
 
 @given(st.lists(st.integers(0, 50), max_size=60))
@@ -121,6 +121,18 @@ def test_token_counts(spark):
     assert got[:3] == [2, 0, 0] and got[3] > 1 and got[4] > 1000
 
 
+@given(st.text(alphabet=" \n\t\u00a0a1!é", max_size=40), st.integers(2, 6))
+@settings(max_examples=300, deadline=None)
+def test_long_blanks_are_counted_like_short_ones(text, least):
+    e = _encoding(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    assert token_count(e, text, least) == len(e.encode_ordinary(text))
+
+
+def test_millions_of_blanks(spark):
+    df = spark.range(1).selectExpr("concat('a', repeat(' ', 3000000), 'b', repeat('\n', 1500000)) as t")
+    assert df.select(count_tokens("t").alias("n")).first().n > 1_000_000
+
+
 CYRILLIC_WORD = "привет"
 
 
