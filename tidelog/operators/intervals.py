@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions.timefn import DAY_US, micros
-from tidelog.session import stage
+from tidelog.session import cluster, stage
 
 
 class IntervalMap:
@@ -101,7 +101,7 @@ def continuous_periods(df: DataFrame, entity: str, start: str, end: str, slice_u
     part_schema = pa.schema([pa.field("k", _arrow(kind)), ("slice", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
     full_schema = pa.schema([pa.field("k", _arrow(kind)), ("slice", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
     part = rows.mapInArrow(_partial(part_schema), flat)
-    slices = stage(part.repartition("k", "slice").sortWithinPartitions("k", "slice").mapInArrow(_final(full_schema), _ddl(kind)))
+    slices = stage(cluster(part, ["k", "slice"]).mapInArrow(_final(full_schema), _ddl(kind)))
 
     by = W.partitionBy("k").orderBy("slice")
     reach = slices.select("k", "slice", F.element_at("ends", -1).alias("top")).select(

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,4 +28,5 @@ class Registry:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

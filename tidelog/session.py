@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "tidelog", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -27,7 +28,23 @@ def build_session(app: str = "tidelog", master: str | None = None, partitions: i
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once per application; they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if _shipped.get("application") != sc.applicationId:
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="spark-tidelog-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "tidelog"), "zip", os.path.dirname(root), os.path.basename(root)))
+        _shipped["application"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,3 +89,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cluster(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """``df`` with equal ``keys`` in one partition, sorted by them and ``order``, for mapInArrow over sorted groups.
+
+    Spark leaves out a repartition whose child is partitioned that way already, and a sort likewise; but when it
+    then turns the join below into a broadcast join at run time, nothing above demands either and groups are
+    torn. A hash of the keys is a partitioning that no child has, so the shuffle and the sort stay.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
