@@ -197,6 +197,20 @@ def test_pairs_equal_brute_force(spark, texts):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
+def test_pairs_survive_a_join_replanned_at_run_time(spark, texts):
+    """A join planned as a merge that becomes a broadcast at run time must not tear the buckets."""
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()} == want
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(k)
+
+
 def test_canonical_texts_keep_rows_and_readings(spark, texts):
     df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in texts], "doc_id long, text string, _sha string, canonical string, _text string").repartition(4)
     rows = canonical_texts(df, "text").collect()

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.session import stage
+from tidelog.session import cluster, stage
 
 # Letters of other scripts and the letters that they are drawn like.
 ALIKE = {
@@ -239,7 +239,7 @@ def spellings(docs: DataFrame, text: str, letters: int = 6) -> DataFrame:
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(bucket(F.col("token"), letters).alias("bucket"), "token", "n", to_look_at(F.col("token")).alias("ask"))
     counted = stage(counted)
     wanted = counted.join(counted.where("ask").select("bucket").distinct(), "bucket", "left_semi")
-    return wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spell, "token string, spelling string")
+    return cluster(wanted, ["bucket"]).mapInArrow(_spell, "token string, spelling string")
 
 
 def _changed_texts(docs: DataFrame, text: str, letters: int, salts: int) -> DataFrame:
