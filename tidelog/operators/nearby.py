@@ -20,7 +20,9 @@ def band_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     """
     width = max(back_us + ahead_us, 1_000_000)
     cols = list(left.columns)
-    a = left.withColumn("_t", micros(left_time)).withColumn("_row", F.monotonically_increasing_id()) if how != "inner" else left.withColumn("_t", micros(left_time))
+    a = left.withColumn("_t", micros(left_time))
+    if how != "inner":  # rows are told apart by numbers that must be the same in both uses
+        a = stage(a.withColumn("_row", F.monotonically_increasing_id()))
     b = right.withColumn("_u", micros(right_time)).withColumn("_bucket", F.floor(F.col("_u") / F.lit(width)))
     wide = a.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("_t") - F.lit(back_us)) / F.lit(width)), F.floor((F.col("_t") + F.lit(ahead_us)) / F.lit(width)))))
     ok = (F.col("_u") >= F.col("_t") - F.lit(back_us)) & (F.col("_u") <= F.col("_t") + F.lit(ahead_us))
