@@ -236,6 +236,24 @@ def test_repeated_substrings_equal_a_loop(spark):
     assert I.repeated_substrings(df.where("false"), "i", "m", 3).count() == 0
 
 
+def test_repeated_substrings_have_no_greatest_length(spark):
+    rnd = random.Random(7)
+    common = rnd.randbytes(150)
+    messages = [b"ab" + common + b"c", common[:90] + b"xyz", b"q" + common, rnd.randbytes(200)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "i int, m binary")
+    got = {bytes(r.substring): (r.messages, r.occurrences) for r in I.repeated_substrings(df, "i", "m").collect()}
+    assert got == {common: (2, 2), common[:90]: (3, 3)} == maximal_by_loop(messages, 6)
+
+
+def test_shared_substrings_begin_at_six_bytes(spark):
+    from tidelog.plans.payloads import R, distinct_payloads
+
+    sf = "/root/testdata/sf0.001"
+    messages = [bytes(r.raw_bytes) for r in distinct_payloads(spark, sf).collect()]
+    got = {bytes.fromhex(r.substring): (r.messages, r.occurrences) for r in R.queries["shared_substrings"](spark, sf).collect()}
+    assert got == maximal_by_loop(messages, 6) and min(map(len, got)) < 10
+
+
 def test_random_payloads_repeat_by_seed(spark):
     draw = lambda: sorted((r.corpus, r.n, bytes(r.data)) for r in I.random_payloads(spark, 3, 5, 22, [1, 2, 200]).collect())
     rows = draw()

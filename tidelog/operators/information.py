@@ -78,25 +78,44 @@ def walk_bits(symbol: int, walk: list[tuple[list, list, list, list]], vocabulary
     return out + math.log2(rest if rest > 0 else vocabulary)
 
 
-def repeated_substrings(payloads: DataFrame, payload_id: str, data: str, min_length: int = 6, max_length: int = 64) -> DataFrame:
+def repeated_substrings(payloads: DataFrame, payload_id: str, data: str, min_length: int = 6) -> DataFrame:
     """(substring, length, messages, occurrences) of the maximal byte strings that stand in at least two payloads.
 
     A string is listed if one of its occurrences isn't inside a longer listed one; that is so exactly if the
-    occurrence can't be extended by one byte on either side to a string that two payloads share. Payloads are
-    short records: strings of more than ``max_length`` bytes are looked at as their parts of that length.
+    occurrence can't be extended by one byte on either side to a string that two payloads share.
+
+    A shared string's beginnings are shared too, so windows of ``min_length`` bytes are doubled in length where
+    they are shared, as long as any are; a position then takes part with lengths below its first window that is
+    not. Only those are looked at one by one, so no length is given beforehand.
     """
     ids = payloads.select(F.col(payload_id).alias("id"), F.col(data).alias("d")).where(F.octet_length("d") >= min_length)
-    spans = ids.select("id", "d", F.explode(F.sequence(F.lit(1), F.octet_length("d") - min_length + 1)).alias("pos"))
-    spans = spans.select("id", "d", "pos", F.explode(F.sequence(F.lit(min_length), F.least(F.lit(max_length), F.octet_length("d") - F.col("pos") + 1))).alias("len"))
-    spans = spans.select("id", "pos", "len", F.expr("substring(d, pos, len)").alias("substring"))
-    shared = spans.groupBy("substring").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("substring")
-    occ = spans.join(shared, "substring", "left_semi")
+    at = ids.select("id", "d", F.explode(F.sequence(F.lit(1), F.octet_length("d") - min_length + 1)).alias("pos")).withColumn("end", F.octet_length("d") - F.col("pos") + 1)
+    parts, length = None, min_length
+    while True:
+        windows = at.withColumn("substring", F.expr(f"substring(d, pos, {length})"))
+        at = stage(windows.join(shared_by_two(windows), "substring", "left_semi").select("id", "d", "pos", "end"))
+        if at.isEmpty():
+            break
+        # lengths from this window's to below the next one's; those not shared drop out below
+        level = at.withColumn("len", F.explode(F.sequence(F.lit(length), F.least(F.lit(2 * length - 1), F.col("end")))))
+        parts = level if parts is None else parts.unionByName(level)
+        length *= 2
+        at = at.where(F.col("end") >= length)
+    if parts is None:
+        return at.select(F.col("d").alias("substring"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("messages"), F.lit(0).cast("long").alias("occurrences"))
+    spans = parts.select("id", "pos", "len", F.expr("substring(d, pos, len)").alias("substring"))
+    occ = stage(spans.join(shared_by_two(spans), "substring", "left_semi"))
     longer = occ.select("id", "pos", "len").where(F.col("len") > min_length)
     inside = longer.select("id", "pos", (F.col("len") - 1).alias("len")).unionByName(longer.select("id", (F.col("pos") + 1).alias("pos"), (F.col("len") - 1).alias("len")))
     bare = occ.join(inside, ["id", "pos", "len"], "left_anti").select("substring").distinct()
     return occ.join(bare, "substring", "left_semi").groupBy("substring").agg(F.octet_length(F.first("substring")).alias("length"), F.count_distinct("id").alias("messages"), F.count(F.lit(1)).alias("occurrences"))
 
 
+def shared_by_two(spans: DataFrame) -> DataFrame:
+    """The substrings that stand in at least two payloads."""
+    return spans.groupBy("substring").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("substring")
+
+
 def byte_histogram(payloads: DataFrame, data: str) -> DataFrame:
     """(byte, n) over all bytes of all payloads, those that never occur left out."""
     return payloads.select(F.explode(bytes_of(F.col(data))).alias("byte")).groupBy("byte").agg(F.count(F.lit(1)).alias("n"))

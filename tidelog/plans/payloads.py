@@ -188,10 +188,18 @@ _SUBSTRINGS = _DISTINCT + """,
 
 @R.query("repeated_substrings", _SUBSTRINGS)
 def repeated_substrings(spark, sf):
+    """Only the strings of 10 bytes or more; shared_substrings has all from 6 bytes on."""
     s = I.repeated_substrings(distinct_payloads(spark, sf), "message_hash", "raw_bytes", min_length=10)
     return s.select(F.hex("substring").alias("substring"), "length", "messages", "occurrences")
 
 
+@R.query("shared_substrings", _SUBSTRINGS.replace("generate_series(10, 22)", "generate_series(6, 22)"))
+def shared_substrings(spark, sf):
+    """The maximal strings of 6 bytes or more that at least two distinct payloads share."""
+    s = I.repeated_substrings(distinct_payloads(spark, sf), "message_hash", "raw_bytes", min_length=6)
+    return s.select(F.hex("substring").alias("substring"), "length", "messages", "occurrences")
+
+
 _SAMPLES = LOG + ", v AS (SELECT prn % 2 AS g, entropy AS v FROM log WHERE entropy IS NOT NULL)"
 
 
