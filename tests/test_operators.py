@@ -167,6 +167,43 @@ def test_permutations_keep_the_data_and_the_size(spark):
     assert sorted(rows) == list(range(9)) and rows[0] == 10 and all(v == 10 for v in rows.values())
 
 
+@pytest.mark.parametrize("everyone", [None, 0])
+def test_matches_by_repetition_equal_pairs(spark, everyone):
+    rnd = random.Random(9)
+    when = lambda: T0 + timedelta(hours=rnd.randrange(9000) // 12 * 12)
+    left = list({(rnd.choice([0, 1, 2, 3]), rnd.choice("xy"), when()) for _ in range(150)})
+    right = [(i, rnd.choice([1, 2, 2, 4, None] if i % 7 else [None]), when() if i % 9 else None) for i in range(40)]
+    a = spark.createDataFrame(left, "e int, k string, t timestamp_ntz")
+    b = spark.createDataFrame(right, "j int, f int, u timestamp_ntz").repartition(3)
+    reps = N.shuffled_times(b, "u", 6, shard_rows=7)
+    dealt = {}
+    for r in reps.collect():
+        dealt.setdefault(r.rep, []).append((r.j, r.f, r.u))
+    order = lambda times: sorted(map(str, times))
+    assert sorted(dealt) == list(range(7)) and sorted(dealt[0], key=str) == sorted(right, key=str)
+    assert all(sorted(j for j, _, _ in v) == list(range(40)) and order(u for *_, u in v) == order(u for *_, u in right) for v in dealt.values())
+    assert len({str(sorted(v, key=str)) for v in dealt.values()}) == 7
+    for days in (0, 1, 4):
+        near = lambda e, t, f, u: u is not None and abs(u - t) <= timedelta(days=days) and (f is None or f == e or e == everyone)
+        want = {n: sum(any(near(e, t, f, u) for _, f, u in v) for e, _, t in left) for n, v in dealt.items()}
+        got = N.matched_by_rep(a, reps, ["e", "k", "t"], "t", "u", days * 86_400_000_000, 6, "e", "f", everyone)
+        assert {r.rep: r.matched for r in got.collect()} == want
+    assert N.permutation_test(got, len(left)).first().asDict() == {
+        "matched": want[0], "total": len(left), "observed_rate": want[0] / len(left), "repeats": 6,
+        "null_rate": pytest.approx(sum(want[n] for n in range(1, 7)) / 6 / len(left)), "p_value": sum(want[n] >= want[0] for n in range(1, 7)) / 6,
+    }
+
+
+def test_advisory_permutations_are_two_tests_of_a_thousand_shuffles(spark):
+    from tidelog.plans.behaviour import R
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.test: r for r in R.queries["advisory_permutations"](spark, sf).collect()}
+    life = R.queries["lifecycle_match_rate"](spark, sf).first()
+    assert sorted(rows) == ["change_points", "filler_events"] and all(r.repeats == 1000 and 0 <= r.p_value <= 1 for r in rows.values() if r.total)
+    assert (rows["filler_events"].matched, rows["filler_events"].total) == (life.matched, life.total)
+
+
 def naive_bits(corpus, own, order, vocabulary=256):
     counts = {}
     for m in corpus:

@@ -10,6 +10,7 @@ from tidelog.operators.sentinels import sentinel_events
 from tidelog.plans.base import CHANGES, LOG, log, steps
 from tidelog.plans.registry import Registry, table
 from tidelog.plans.sequences import _EVENTS
+from tidelog.session import stage
 
 R = Registry()
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -128,6 +129,7 @@ def sentinel_advisories(spark, sf):
     return sentinel_matches(spark, sf).select("prn", "sentinel_type", "event_type", "event_date", "nanu_id", "nanu_type", "nanu_prn", F.round(days_between("msg_datetime", "event_date"), 6).alias("time_offset_days"))
 
 
+LIFE_TYPES = ["DECOM", "LAUNCH", "USABINIT", "UNUSUFN", "UNUSABLE"]
 _LIFE = "('DECOM', 'LAUNCH', 'USABINIT', 'UNUSUFN', 'UNUSABLE')"
 
 
@@ -177,10 +179,23 @@ def change_point_advisories(spark, sf):
 
 @R.query("advisory_permutations")
 def advisory_permutations(spark, sf):
-    """Filler events with an advisory nearby (rep 0), and the same for 50 shuffles of the advisories' times."""
-    e = sentinel_events(log(spark, sf, "ascii_message", "entropy"))
-    same = F.col("nanu_prn").isNull() | (F.col("nanu_prn") == F.col("prn"))
-    return N.permutation_null(e, advisories(spark, sf), ["prn", "event_type", "event_date"], "event_date", "msg_datetime", 2 * DAY_US, 50, same)
+    """The share of filler events and of strong change points with an advisory nearby, and its one-sided p-value by 1,000 shuffles of the advisories' times.
+
+    Filler events: 14 days, advisories of a change in the entity's life. Change points from the third quartile
+    of effect sizes on: any advisory, 7 days for weekly and 3 for daily ones; a key of both is matched as weekly.
+    """
+    repeats = 1000
+    reps = N.shuffled_times(advisories(spark, sf).select("nanu_prn", F.col("nanu_type").isin(*LIFE_TYPES).alias("life"), "msg_datetime"), "msg_datetime", repeats)
+    keys = ["prn", "event_type", "event_date"]
+    e = stage(sentinel_events(log(spark, sf, "ascii_message", "entropy")).select(*keys).distinct())
+    fillers = N.matched_by_rep(e, reps.where("life"), keys, "event_date", "msg_datetime", 14 * DAY_US, repeats, "prn", "nanu_prn")
+    keys = ["detected_at", "prn", "metric"]
+    strong = C.nearest_rank_threshold(stage(effect_sizes(spark, sf)), "effect_size", 0.75)
+    c = stage(strong.groupBy(*keys).agg(F.max(F.col("granularity") == "weekly").alias("weekly")))
+    parts = [N.matched_by_rep(c.where(k), reps, keys, "detected_at", "msg_datetime", d * DAY_US, repeats, "prn", "nanu_prn", M.FLEET) for k, d in (("weekly", 7), ("not weekly", 3))]
+    points = parts[0].unionByName(parts[1]).groupBy("rep").agg(F.sum("matched").alias("matched"))
+    tests = [N.permutation_test(m, x.count()).select(F.lit(name).alias("test"), "*") for name, m, x in (("filler_events", fillers, e), ("change_points", points, c))]
+    return tests[0].unionByName(tests[1])
 
 
 @R.query(
