@@ -140,6 +140,12 @@ def test_conflicts_and_keyed_tables(spark):
     assert A.upsert(A.upsert(old, new, ["k"]), new, ["k"]).count() == 3
 
 
+def test_identical_deliveries_list_every_source(spark):
+    df = spark.range(1500).select(F.col("id").alias("obs_id"), F.lit("m").alias("h"), F.format_string("f%d", 1499 - F.col("id")).alias("source_file"))
+    r = A.identical_deliveries(df, {"h": "h"}, "obs_id", "source_file").first()
+    assert (r.occurrence_count, r.distinct_sources, r.source_files) == (1500, 1500, [f"f{1499 - i}" for i in range(1500)])
+
+
 def test_band_nearest_and_following(spark):
     rnd = random.Random(8)
     left = [(i, rnd.choice("xy"), T0 + timedelta(minutes=rnd.randrange(20_000))) for i in range(120)] + [(900, "x", None)]

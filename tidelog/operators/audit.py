@@ -13,19 +13,17 @@ def deliveries_by_source(messages: DataFrame, identifier: dict[str, Column | str
     return messages.select(*keys, F.col(source), F.col(row_id)).groupBy(*identifier, source).agg(F.count(F.lit(1)).alias("deliveries"), F.min(row_id).alias("first_id"))
 
 
-def identical_deliveries(messages: DataFrame, identifier: dict[str, Column | str], row_id: str, source: str, max_sources: int = 1000) -> DataFrame:
+def identical_deliveries(messages: DataFrame, identifier: dict[str, Column | str], row_id: str, source: str) -> DataFrame:
     """Identifiers delivered more than once: (identifier, occurrence_count, distinct_sources, source_files).
 
     Sources are counted per identifier first; ``source_files`` lists the distinct ones in order of their first
-    delivery and is null where there are more than ``max_sources`` of them, so that no row grows without bound:
-    those are rows of :func:`deliveries_by_source`.
+    delivery, all of them. A row is as long as an identifier has sources; :func:`deliveries_by_source` has them as rows.
     """
     keys = list(identifier)
     per_source = deliveries_by_source(messages, identifier, row_id, source).withColumnsRenamed({source: "_s", "deliveries": "_n", "first_id": "_first"})
-    several = per_source.groupBy(*keys).agg(F.sum("_n").alias("occurrence_count"), F.count(F.lit(1)).alias("distinct_sources")).where("occurrence_count > 1")
-    few = per_source.join(several.where(F.col("distinct_sources") <= max_sources), keys, "left_semi")
-    lists = few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_s"))), lambda x: x["_s"]).alias("source_files"))
-    return several.join(lists, keys, "left")
+    each = F.sort_array(F.collect_list(F.struct("_first", "_s")))
+    several = per_source.groupBy(*keys).agg(F.sum("_n").alias("occurrence_count"), F.count(F.lit(1)).alias("distinct_sources"), each.alias("_l")).where("occurrence_count > 1")
+    return several.select(*keys, "occurrence_count", "distinct_sources", F.transform("_l", lambda x: x["_s"]).alias("source_files"))
 
 
 def conflicting_deliveries(log: DataFrame, entity: str = "prn", time: str = "datetime", payload: str = "message_hash", row_id: str = "obs_id", source: str = "source_file") -> DataFrame:
