@@ -297,6 +297,16 @@ def test_shared_substrings_begin_at_six_bytes(spark):
     assert got == maximal_by_loop(messages, 6) and min(map(len, got)) < 10
 
 
+def test_uniformity_counts_symbols_that_never_occur(spark):
+    from tidelog.plans.payloads import ALPHABET, uniformity
+
+    df = spark.createDataFrame([(b"AAB",), (b"B\x00",)], "d binary")
+    got = I.alphabet_histogram(df, "d", [65, 66, 67, 68])
+    assert sorted(map(tuple, got.collect())) == [(65, 2), (66, 2), (67, 0), (68, 0)]
+    assert tuple(uniformity(got).first())[:2] == (4.0, 3)
+    assert len(set(ALPHABET)) == 45 and {65, 32, 57, 0xF8} <= set(ALPHABET)
+
+
 def test_random_payloads_repeat_by_seed(spark):
     draw = lambda: sorted((r.corpus, r.n, bytes(r.data)) for r in I.random_payloads(spark, 3, 5, 22, [1, 2, 200]).collect())
     rows = draw()

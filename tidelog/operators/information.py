@@ -121,6 +121,12 @@ def byte_histogram(payloads: DataFrame, data: str) -> DataFrame:
     return payloads.select(F.explode(bytes_of(F.col(data))).alias("byte")).groupBy("byte").agg(F.count(F.lit(1)).alias("n"))
 
 
+def alphabet_histogram(payloads: DataFrame, data: str, alphabet: list[int]) -> DataFrame:
+    """(byte, n) of each byte of ``alphabet`` over all payloads, 0 for those that never occur; other bytes are left out."""
+    letters = payloads.sparkSession.createDataFrame([(b,) for b in sorted(set(alphabet))], "byte int")  # at most 256
+    return letters.join(byte_histogram(payloads, data), "byte", "left").select("byte", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def position_histogram(payloads: DataFrame, data: str) -> DataFrame:
     """(position, byte, n), positions counted from 1."""
     return payloads.select(F.posexplode(bytes_of(F.col(data))).alias("p", "byte")).groupBy((F.col("p") + 1).alias("position"), "byte").agg(F.count(F.lit(1)).alias("n"))

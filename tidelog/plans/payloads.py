@@ -130,9 +130,26 @@ def alphabet_capacity(spark, sf):
     "c AS (SELECT sum((n - e) * (n - e) / e) AS chi2, max(df) AS df FROM n, t) SELECT round(chi2, 4) AS chi2, df, round((chi2 - df) / sqrt(2 * df), 4) AS z FROM c",
 )
 def byte_uniformity(spark, sf):
-    """Chi-squared of the bytes of distinct payloads against equal shares."""
-    n = byte_histogram(spark, sf)
-    mean = n.agg((F.sum("n") / F.count(F.lit(1))).alias("expected"))
+    """Chi-squared of the bytes that occur in distinct payloads against equal shares; alphabet_uniformity counts absent symbols too."""
+    return uniformity(byte_histogram(spark, sf))
+
+
+#: The 45 symbols of the text alphabet as bytes of the code page.
+ALPHABET = [X.code_page().index(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-.'°/: \""]
+
+
+@R.query(
+    "alphabet_uniformity",
+    _DISTINCT + f", a AS (SELECT unnest({ALPHABET}) AS byte), k AS (SELECT {_HEX} AS byte, count(*) AS c FROM b GROUP BY 1), n AS (SELECT byte, coalesce(c, 0) AS n FROM a LEFT JOIN k USING (byte)), "
+    "t AS (SELECT sum(n) / count(*) AS e, count(*) - 1 AS df FROM n), c AS (SELECT sum((n - e) * (n - e) / e) AS chi2, max(df) AS df FROM n, t) SELECT round(chi2, 4) AS chi2, df, round((chi2 - df) / sqrt(2 * df), 4) AS z FROM c",
+)
+def alphabet_uniformity(spark, sf):
+    """Chi-squared of the alphabet's symbols in distinct payloads against equal shares; a symbol that never occurs is a cell, other bytes are none."""
+    return uniformity(I.alphabet_histogram(distinct_payloads(spark, sf), "raw_bytes", ALPHABET))
+
+
+def uniformity(n):
+    mean = n.agg(F.nullif(F.sum("n") / F.count(F.lit(1)), F.lit(0.0)).alias("expected"))
     c = stats.chi_squared(n.join(F.broadcast(mean)), "n", "expected")
     return c.select(F.round("chi2", 4).alias("chi2"), "df", F.round("z", 4).alias("z"))
 

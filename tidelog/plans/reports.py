@@ -13,7 +13,7 @@ REPORTS = {
     "advisories": ["advisories_once", "effect_sizes", "largest_effects", "change_point_advisories", "advisory_type_matches", "changes_near_advisories", "nearest_advisory"],
     "fillers": ["sentinel_windows", "sentinel_events", "fleet_flashes", "sentinel_episodes", "sentinel_advisories", "lifecycle_match_rate", "unmatched_events", "advisory_permutations"],
     "regimes": ["groups_per_day", "diversity_by_month", "lifetimes_by_month", "yearly_summary", "calendar_months", "first_days"],
-    "significance": ["shared_substrings", "message_concentration", "concentration_p_values", "entropy_rank_sum", "entropy_ks", "byte_uniformity", "entropy_zscores", "alphabet_capacity"],
+    "significance": ["shared_substrings", "message_concentration", "concentration_p_values", "entropy_rank_sum", "entropy_ks", "alphabet_uniformity", "entropy_zscores", "alphabet_capacity"],
     "entropy": ["leave_one_out_summary", "leave_one_out_bits", "random_baseline", "entropy_peak", "byte_histogram"],
     "corpus": ["corpus_totals", "text_totals", "text_by_entity", "payload_rarity", "exclusive_payloads", "entity_overlap"],
 }
