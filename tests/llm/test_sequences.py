@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tidelog.llm.runs import collapse_runs, differing, neighbour_costs, segment
+from tidelog.llm.runs import ConsensusCost, Segmentation, collapse_runs, differing, neighbour_costs, segment
 from tidelog.llm.spans import shared_spans
 
 T0 = datetime(2020, 1, 1)
@@ -35,6 +35,58 @@ def test_segmentation_is_optimal(seed):
     assert begins[0] and [bool(b) for b in begins[1:]] == [c > 2.5 for c in costs[1:]]
 
 
+def consensus(payloads):
+    """Bytes in which the payloads differ from the most frequent byte of their position; a missing one is a symbol."""
+    width = max(map(len, payloads))
+    columns = [[p[i] if i < len(p) else -1 for p in payloads] for i in range(width)]
+    return sum(len(c) - max(c.count(x) for x in c) for c in columns)
+
+
+def best_of_all(payloads, penalty):
+    """The least total of all segmentations under the consensus cost."""
+    least = np.inf
+    for cuts in itertools.product([0, 1], repeat=len(payloads) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(payloads)]
+        least = min(least, sum(penalty + consensus(payloads[a:b]) for a, b in zip(at, at[1:])))
+    return least
+
+
+def total_of(begins, payloads, penalty):
+    at = [*np.flatnonzero(begins).tolist(), len(payloads)]
+    return sum(penalty + consensus(payloads[a:b]) for a, b in zip(at, at[1:]))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_consensus_segmentation_is_optimal(seed):
+    rnd = random.Random(seed)
+    payloads = [bytes(rnd.choice(b"ab") for _ in range(rnd.choice([3, 3, 3, 2]))) for _ in range(rnd.randrange(1, 12))]
+    begins, total = segment(payloads, 2.5, ConsensusCost)
+    assert total == best_of_all(payloads, 2.5) == total_of(begins, payloads, 2.5) and begins[0]
+
+
+def test_the_optimum_isnt_a_threshold_between_neighbours():
+    drift = [bytes([66] * i + [65] * (12 - i)) for i in range(13)]  # neighbours differ in one byte, the ends in all
+    assert segment([differing(a, b) for a, b in zip([None, *drift], drift)], 2.5)[0].sum() == 1
+    begins, total = segment(drift, 2.5, ConsensusCost)
+    assert begins.sum() > 1 and total == best_of_all(drift, 2.5)
+    spike = [b"a" * 12] * 5 + [b"b" * 3 + b"a" * 9] + [b"a" * 12] * 5  # dearer than the penalty, but two cuts cost more
+    assert np.flatnonzero(segment([differing(a, b) for a, b in zip([None, *spike], spike)], 2.5)[0]).tolist() == [0, 5, 6]
+    assert np.flatnonzero(segment(spike, 2.5, ConsensusCost)[0]).tolist() == [0]
+
+
+def test_a_long_run_holds_few_boundaries():
+    rnd = random.Random(1)
+    base = bytes(rnd.randrange(256) for _ in range(22))
+    held, runs, p = 0, 0, Segmentation(2.5, ConsensusCost)
+    for i in range(3000):
+        event = bytearray(base)
+        if rnd.random() < 0.1:
+            event[rnd.randrange(22)] = 0
+        runs += len(p.feed(bytes(event) if i % 1000 < 900 else bytes(22)))
+        held = max(held, len(p.alive))
+    assert held < 400 and runs >= 4
+
+
 def test_costs_of_any_lengths():
     assert differing(b"abc", b"abd") == 1 and differing(b"", b"ab") == 2 and differing(None, None) == np.inf
     assert neighbour_costs([]).tolist() == [] and neighbour_costs([b"ab", b"ab", b"b"]).tolist()[1:] == [0, 2]
@@ -76,6 +128,41 @@ def test_runs_equal_a_loop(spark, seed):
 def test_runs_of_an_empty_table(spark):
     df = spark.createDataFrame([], "prn string, t timestamp_ntz, raw binary")
     assert collapse_runs(df, "prn", "t", "raw").count() == 0
+    assert collapse_runs(df, "prn", "t", "raw", cost=ConsensusCost).count() == 0
+
+
+def test_consensus_runs_of_a_table(spark):
+    """Every slice is segmented at the least cost; silences, missing payloads and slices end runs."""
+    rnd = random.Random(4)
+    rows, parts = [], {}
+    for k in (1, 2):
+        t = T0
+        for _ in range(60):
+            t += timedelta(hours=rnd.choice([1, 1, 1, 1, 2, 7]))
+            p = None if rnd.random() < 0.05 else bytes(rnd.choice(b"ab") for _ in range(4))
+            rows.append((k, t, p))
+    for k, t, p in rows:
+        parts.setdefault((k, (t - T0).days), []).append((t, p))
+    want = 0.0
+    for events in parts.values():
+        piece, last = [], None
+        for t, p in events:
+            if piece and (p is None or t - last > timedelta(hours=6)):
+                want, piece = want + best_of_all(piece, 2.5), []
+            if p is None:
+                want += 2.5
+            else:
+                piece.append(p)
+            last = t
+        want += best_of_all(piece, 2.5) if piece else 0
+    df = spark.createDataFrame([(*r, "x") for r in rows], "prn int, t timestamp_ntz, raw binary, first string").repartition(3)
+    got = collapse_runs(df, "prn", "t", "raw", cost=ConsensusCost).collect()
+    total = 0.0
+    for r in got:
+        inside = [p for k, t, p in rows if k == r.prn and r.start_us <= us(t) <= r.stop_us]
+        assert len(inside) == r.events
+        total += 2.5 + (consensus(inside) if inside != [None] else 0)
+    assert total == want and sum(r.events for r in got) == len(rows)
 
 
 def spans_by_loop(records, least):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.lookalike import canonical_texts, look_alike_pairs
 from tidelog.llm.mixing import mix
 from tidelog.llm.packing import pack
-from tidelog.llm.runs import collapse_runs
+from tidelog.llm.runs import ConsensusCost, NeighbourCost, collapse_runs
 from tidelog.llm.spans import shared_spans
 from tidelog.llm.tokens import count_tokens
 from tidelog.operators.delivery import one_payload
@@ -26,9 +26,9 @@ _RUNS = f"""
 """
 
 
-def _runs(spark, sf):
+def _runs(spark, sf, cost=NeighbourCost):
     events = one_payload(table(spark, sf, "special_messages"), identifier(), "obs_id", ["raw_bytes"])
-    return collapse_runs(events, "prn", "datetime", "raw_bytes")
+    return collapse_runs(events, "prn", "datetime", "raw_bytes", cost=cost)
 
 
 @R.query("p3_found", _RUNS + "SELECT prn, a // 1000000 AS start_s, b // 1000000 AS stop_s FROM found WHERE events >= 3")
@@ -42,6 +42,12 @@ def p3_run_lengths(spark, sf):
     return _runs(spark, sf).groupBy("prn", "events").agg(F.count(F.lit(1)).alias("runs"), F.sum("duration_us").alias("duration_us"))
 
 
+@R.query("p3_consensus_runs")
+def p3_consensus_runs(spark, sf):
+    """Runs of the least total of boundaries and of bytes that differ from the run's representative."""
+    return _runs(spark, sf, ConsensusCost).groupBy("prn", "events").agg(F.count(F.lit(1)).alias("runs"), F.sum("duration_us").alias("duration_us"))
+
+
 _SPANS = """
     WITH rec AS (SELECT lower(message_hash) AS message_hash, hex(any_value(raw_bytes)) AS h FROM special_messages GROUP BY 1),
          win AS (SELECT message_hash, p, substr(h, 2 * p - 1, 24) AS w FROM rec, generate_series(1, 11) AS g(p)),
