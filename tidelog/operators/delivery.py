@@ -25,10 +25,9 @@ def first_deliveries(df: DataFrame, identifier: dict[str, Column | str], row_id:
 
     The kept row has the least struct of the ``order`` columns (delivery time first), then the least
     ``row_id`` as tie-break; min_by combines inside map tasks, so a group of any size shuffles one row per
-    task. Where ``row_id`` itself is the order of arrival, ``order`` stays empty: the struct has one field,
-    its bare value serves, and Spark's hash aggregation takes it (a struct of several fields makes Spark
-    sort). Rows with a null in the identifier have none: see :func:`redelivered`. Nulls in ``order`` sort
-    first, as Spark orders structs.
+    task. Spark aggregates structs by sorting inside the task; without ``order`` the id alone decides, and a
+    hash table does. Rows with a null in the identifier have none: see :func:`redelivered`. Nulls in ``order``
+    sort first, as Spark orders structs.
     """
     rows, keys, by = _identifier(df, identifier, row_id, order)
     least = F.struct(*by, "_id") if by else F.col("_id")
@@ -47,8 +46,15 @@ def redelivered(df: DataFrame, identifier: dict[str, Column | str], row_id: str,
 
 
 def exactly_once(df: DataFrame, identifier: dict[str, Column | str], row_id: str, order: Sequence[str] = ()) -> DataFrame:
-    """The rows of ``df``, whole, with one copy per identifier; rows without a complete identifier all stay."""
-    return df.join(redelivered(df, identifier, row_id, order), row_id, "left_anti")
+    """The rows of ``df``, whole, with one copy per identifier; rows without a complete identifier all stay.
+
+    One scan and one shuffle: min_by takes whole rows, and a row without a complete identifier is a group of
+    its own by its ``row_id``.
+    """
+    keys, by = [f"_k{i}" for i in range(len(identifier))], [f"_o{i}" for i in range(len(order))]
+    parts = [(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip(keys, identifier.values())]
+    rows = df.select(*parts, *(F.col(o).alias(b) for o, b in zip(order, by)), F.col(row_id).alias("_id"), F.struct(*df.columns).alias("_row"))
+    return rows.groupBy(*keys, F.when(~_known(keys), F.col("_id")).alias("_alone")).agg(F.min_by("_row", F.struct(*by, "_id")).alias("_row")).select("_row.*")
 
 
 def one_payload(df: DataFrame, identifier: dict[str, Column | str], row_id: str, payload: Sequence[str]) -> DataFrame:

@@ -79,7 +79,6 @@ def p2_trailing(spark, sf):
     return _trailing(spark, sf)
 
 
-
 def identifier() -> dict:
     """What makes two deliveries the same message; the hash counts in any letter case.
 
@@ -98,7 +97,8 @@ _DROPS = """
 
 @R.query("p4_found", _DROPS)
 def p4_found(spark, sf):
-    drops = [redelivered(table(spark, sf, tab), identifier(), i).select(F.lit(tab).alias("tab"), F.col(i).alias("row_id")) for tab, i in (("special_messages", "obs_id"), ("identical_duplicates", "dup_id"))]
+    # ids are the order of arrival, so they stand for the delivery time
+    drops = [redelivered(table(spark, sf, tab), identifier(), i, order=[i]).select(F.lit(tab).alias("tab"), F.col(i).alias("row_id")) for tab, i in (("special_messages", "obs_id"), ("identical_duplicates", "dup_id"))]
     return drops[0].unionByName(drops[1])
 
 
@@ -107,4 +107,4 @@ def p4_found(spark, sf):
     "SELECT obs_id, datetime, prn, lower(message_hash) AS message_hash, source_file FROM (SELECT *, row_number() OVER (PARTITION BY datetime, prn, lower(message_hash) ORDER BY obs_id) AS r FROM special_messages) WHERE r = 1",
 )
 def p4_exactly_once(spark, sf):
-    return exactly_once(table(spark, sf, "special_messages"), identifier(), "obs_id").select("obs_id", "datetime", "prn", F.lower("message_hash").alias("message_hash"), "source_file")
+    return exactly_once(table(spark, sf, "special_messages").select("obs_id", "datetime", "prn", "message_hash", "source_file"), identifier(), "obs_id", order=["obs_id"]).select("obs_id", "datetime", "prn", F.lower("message_hash").alias("message_hash"), "source_file")
