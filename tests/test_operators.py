@@ -480,3 +480,15 @@ def test_staged_tables_are_released(spark):
 
     assert stage(spark.range(3)).count() == 3
     release_staged(spark)
+
+
+def test_frequent_keys_are_split_in_a_join(spark):
+    from tidelog.operators.skew import salted_join
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}", "x") for i in range(3000)] + [(-1, None, "x"), (-2, "absent", "x")], "i long, k string, v string").repartition(4)
+    table = rows.where("k <> 'absent'").groupBy("k").count().withColumn("v2", F.upper("k"))
+    for share in (1, 7, 1000):
+        got = salted_join(rows, table, ["k"], "count", F.col("i"), share)
+        assert set(got.columns) == {"i", "k", "v", "v2"}
+        assert sorted((r.i, r.k, r.v2) for r in got.collect()) == sorted((r.i, r.k, r.k.upper()) for r in rows.where("i >= 0").collect())
+    assert salted_join(rows.where("false"), table.where("false"), ["k"], "count", F.col("i")).count() == 0
