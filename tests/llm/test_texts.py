@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidelog.llm.lookalike import ALIKE, Trie, canonical_texts, fold, look_alike_pairs, well_spelled
+from tidelog.llm.lookalike import ALIKE, Trie, canonical_texts, fold, look_alike_classes, look_alike_pairs, spellings, well_spelled
 from tidelog.llm.mixing import mix, schedule
 from tidelog.llm.packing import BinTree, first_fit_decreasing, pack
 from tidelog.llm.tokens import TOKENIZERS, _encoding, count_tokens, token_count
@@ -147,6 +147,54 @@ def test_trie_costs_nothing_for_look_alikes_only():
     assert well_spelled("paypal") and well_spelled(CYRILLIC_WORD) and not well_spelled("пpивeт") and not well_spelled("café")
 
 
+def edits(a, b):
+    """Edit distance of two readings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def apart(text):
+    return unicodedata.normalize("NFD", fold(text))
+
+
+@given(st.lists(st.text(alphabet="abcаé", min_size=1, max_size=7), min_size=1, max_size=8), st.text(alphabet="abcаéс\u200b", max_size=7), st.integers(0, 3))
+@settings(max_examples=400, deadline=None)
+def test_automaton_equals_edit_distance(words, token, limit):
+    t = Trie()
+    for w in words:
+        t.add(w, 1)
+    near = min(edits(apart(w), apart(token)) for w in words)
+    got = t.match(token, limit)
+    assert (got is None) == (near > limit)
+    assert got is None or edits(apart(got), apart(token)) == near
+
+
+def test_edits_of_every_kind():
+    t = Trie()
+    for w in ("paypal", "data", "date"):
+        t.add(w, 1)
+    assert t.match("paypl", 1) == "paypal" and t.match("pypl", 1) is None and t.match("pypl", 2) == "paypal"
+    assert t.match("dta", 1) == "data" and t.match("dаtee", 1) == "date" and t.match("", 3) is None and t.match("", 4) == "data"
+
+
+def test_words_of_any_length_take_the_same_way():
+    t, long = Trie(), "https://" + "ab" * 500_000
+    t.add(long, 1)
+    t.add(long + "x", 1)
+    assert t.match(long.replace("a", "а", 1)) == long and t.match(long + "хx") is None and len(t.root.after) == 1
+
+
+def test_more_scripts_fonts_and_hidden_characters():
+    for odd in ("ρ", "𝐩", "ｐ", "р", "ⲣ", "p\U000e0101", "p\U000e0041"):
+        assert fold(odd) == "p", odd
+    assert fold("ɑⅼ") == "al" and fold("Ꭺꓐ") == "AB" and fold("１") == "1" and fold("𝟏") == "𝟏" and fold("ı") == "ı"
+    assert all(fold(a) == fold(b) for a, b in ALIKE.items())
+
+
 @given(st.text(alphabet="aAеЕoо0é́​ｅ Кk1", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_fold_is_stable(text):
@@ -230,3 +278,34 @@ def test_canonical_texts_keep_rows_and_readings(spark, texts):
 def test_look_alikes_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert look_alike_pairs(df, "doc_id", "text").count() == 0 and canonical_texts(df, "text").count() == 0
+
+
+def test_classes_equal_brute_force(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts] + [(7000, "x", "x"), (7000, "x", "x")], "doc_id long, text string, form string").repartition(4)
+    full = [(i, t, reading(t)) for i, t in texts if t] + [(7000, "x", "x")] * 2
+    want = []
+    for i, t, r in full:
+        same = [y for _, y, s in full if s == r]
+        if len(set(same)) > 1:
+            want.append((i, len(same), sum(y != t for y in same)))
+    got = look_alike_classes(df, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.class_size, r.links) for r in got) == sorted(want)
+    of = {r.doc_id: r.form for r in got}
+    assert all((of[a] == of[b]) == (r == s) for a, _, r in full for b, _, s in full if a in of and b in of)
+
+
+def test_decomposed_syllables_keep_their_class(spark):
+    """Hangul and two-part vowels stored apart meet the composed word, whose spelling the vocabulary prefers."""
+    words = ["한국어", "কোন", "ガラス", "привет"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words * 3)] + [(100 + i, unicodedata.normalize("NFD", w) + "\u200b") for i, w in enumerate(words)], "doc_id long, text string")
+    assert {r.canonical for r in canonical_texts(df, "text").collect()} == set(words)
+
+
+def test_a_hundred_thousand_words_of_one_beginning_and_length(spark):
+    """No bucket takes all words of one prefix and length, however many of them are asked for."""
+    links = spark.range(100_000).selectExpr("concat('https://example.org/', lpad(id, 9, '0')) as text", "id as doc_id")
+    odd = links.where("doc_id % 10 = 0").selectExpr("replace(text, 'e', 'е') as text", "doc_id + 1000000 as doc_id")
+    both = links.unionByName(odd)
+    assert look_alike_pairs(both, "doc_id", "text").count() == 10_000
+    tokens = spellings(both, "text", trie_words=100)
+    assert tokens.where("spelling like 'https://example.org/%' and n = 1").count() == 10_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,34 +11,50 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidelog.operators.skew import salted_join
 from tidelog.session import cluster, stage
 
-# Letters of other scripts and the letters that they are drawn like.
-ALIKE = {
-    # Cyrillic, small
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    # Cyrillic, capital
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y", "Ӏ": "I",
-    # Greek, small
-    "ο": "o", "ϲ": "c", "ϳ": "j", "ν": "v",
-    # Greek, capital
-    "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z", "Ϳ": "J",
-    # Greek capitals drawn like Cyrillic ones
-    "Γ": "Г", "Π": "П", "Φ": "Ф",
-    # Armenian
-    "օ": "o", "Օ": "O", "Տ": "S",
+# Letters of other scripts and, below each, the letters that they are drawn like; a selection of the single letters of Unicode's list of confusables.
+SCRIPTS = {
+    "Cyrillic, small": ("асԁеһіјӏорԛѕѵԝхуѡ", "acdehijlopqsvwxyw"),
+    "Cyrillic, capital": ("АВСЕНІЈКМОРԚЅТѴԜХУҮӀԌ", "ABCEHIJKMOPQSTVWXYYIG"),
+    "Greek, small": ("αγινορυϲϳ", "ayivopucj"),
+    "Greek, capital": ("ΑΒϹΕΗΙΚΜΝΟΡΤΥΧΖͿϜ", "ABCEHIKMNOPTYXZJF"),
+    "Greek capitals drawn like Cyrillic ones": ("ΓΠΦ", "ГПФ"),
+    "Armenian": ("օհոսՕՍՏ", "ohnuOUS"),
+    "Cherokee": ("ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏳᏴᎥᏂᏏᏧ", "DRTYAJEWMHYGZRWSVSLCPKGBihbd"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Coptic": ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"),
+    "Canadian syllabics": ("ᐯᑌᑭᒍᒪᕼᖇᖴᗞᗰᗷ", "VUPJLHRFDMB"),
+    "Phonetic": ("ɑɡ", "ag"),
 }
+
+
+def _alike() -> dict[str, str]:
+    """SCRIPTS letter by letter, and by rule: letters in the fonts of formulas, and Roman numerals of one letter."""
+    known = {a: b for letters, drawn in SCRIPTS.values() for a, b in zip(letters, drawn, strict=True)}
+    for c in map(chr, (*range(0x2100, 0x2150), *range(0x2160, 0x2180), *range(0x1D400, 0x1D7CC))):
+        kind, *codes = unicodedata.decomposition(c).split() or [""]
+        if len(codes) == 1 and (kind == "<font>" or kind == "<compat>" and unicodedata.category(c) == "Nl"):
+            known[c] = chr(int(codes[0], 16))
+    return {a: known.get(b, b) for a, b in known.items()}
+
+
+#: Characters and the letters that they are drawn like.
+ALIKE = _alike()
 # Code points that show nothing, as first and last of each range.
 INVISIBLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8),
+    (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
 # Characters that separate words, besides the blanks (category Zs).
 BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 
-_BMP = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+#: The assigned characters beyond ASCII.
+_CHARS = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) not in ("Cn", "Co")]
 _HIDDEN = {chr(c) for a, b in INVISIBLE for c in range(a, b + 1)}
-_BLANKS = {c for c in _BMP if unicodedata.category(c) == "Zs"}
+_BLANKS = {c for c in _CHARS if unicodedata.category(c) == "Zs"}
 _SPACES = str.maketrans({c: " " for c in _BLANKS})
 _WORD = re.compile(f"[^ {BREAKS}]+")
 
@@ -86,54 +103,86 @@ def _rank(token: str, count: int) -> tuple:
     return (not token.isascii() and (fold(token) != token or not {s for s in map(_script, spell_out(token)) if s} <= {"LATIN"}), -count, token)
 
 
-#: Words whose reading has more characters, of which a trie would take a node each, are looked up whole by it: the same relation.
-LONG_WORD = 1000
+class _Edge:
+    """A stretch of characters, the edges that follow by their first character, and the best spelling that ends with it."""
 
+    __slots__ = ("label", "after", "best")
 
-def is_long(token: str) -> bool:
-    """Equal for tokens that read the same; normalising lengthens a text to three times its characters at most."""
-    return len(token) > LONG_WORD // 4 and len(fold(token)) > LONG_WORD
+    def __init__(self, label: str, after: dict[str, _Edge], best: tuple | None):
+        self.label, self.after, self.best = label, after, best
 
 
 class Trie:
-    """Spelled-out words of a vocabulary; a leaf has the best spelling that ends there."""
+    """Spelled-out words of a vocabulary; characters that no word branches at share an edge, so a word of any length is few edges."""
 
     def __init__(self):
-        self.root: dict = {}
+        self.root = _Edge("", {}, None)
 
     def add(self, token: str, count: int) -> None:
-        node = self.root
-        for c in spell_out(token):
-            node = node.setdefault(c, {})
-        node[""] = min(node.get("", (_rank(token, count), token)), (_rank(token, count), token))
+        rest, at, entry = spell_out(token), self.root, (_rank(token, count), token)
+        while rest:
+            edge = at.after.get(rest[0])
+            if edge is None:
+                at.after[rest[0]] = _Edge(rest, {}, entry)
+                return
+            n = len(os.path.commonprefix([edge.label, rest]))
+            if n < len(edge.label):  # branch inside the edge
+                edge.after, edge.best = {edge.label[n]: _Edge(edge.label[n:], edge.after, edge.best)}, None
+                edge.label = edge.label[:n]
+            at, rest = edge, rest[n:]
+        at.best = entry if at.best is None else min(at.best, entry)
 
     def match(self, token: str, limit: int = 0) -> str | None:
         """The best spelling within ``limit`` edits, where look-alikes, widths and hidden characters cost nothing.
 
-        The automaton's state holds the least cost at which each trie node can be reached. A character moves
-        each node to the children drawn alike at no cost. Any other edit costs 1, so at limit 0, which keeps
-        apart whatever reads differently, dead states are left at once.
+        The automaton's state holds the least cost at which each place of the trie can be reached, a place being
+        an edge and how far along it. A character moves each place to those next to it, at no cost if drawn
+        alike, else at 1; it can also be one too many (the place stays) or follow characters that are missing
+        (places further on), at 1 each. At limit 0, which keeps apart whatever reads differently, a place has
+        few successors and dead states are left at once. The spelling of least cost wins, then of least rank.
         """
-        states = [(self.root, 0)]
+        states: dict[tuple[int, int], tuple[int, _Edge, int]] = {}
+
+        def reach(cost: int, edge: _Edge, i: int, into: dict) -> None:
+            if cost <= limit and ((id(edge), i) not in into or into[id(edge), i][0] > cost):
+                into[id(edge), i] = (cost, edge, i)
+                if cost < limit:  # characters that the token misses
+                    for _, e, j in _next(edge, i):
+                        reach(cost + 1, e, j, into)
+
+        reach(0, self.root, 0, states)
         for c in spell_out(token):
-            reached: dict[int, tuple[dict, int]] = {}
-            for node, cost in states:
-                twins = _TWINS.get(c, (c,))
-                moves = [(node[t], cost) for t in twins if t in node]
+            twins, reached = _TWINS.get(c, (c,)), {}
+            for cost, edge, i in states.values():
                 if cost < limit:
-                    moves += [(child, cost + 1) for t, child in node.items() if t and t not in twins] + [(node, cost + 1)]
-                for child, w in moves:
-                    if id(child) not in reached or reached[id(child)][1] > w:
-                        reached[id(child)] = (child, w)
-            states = list(reached.values())
+                    for x, e, j in _next(edge, i):
+                        reach(cost + (x not in twins), e, j, reached)
+                    reach(cost + 1, edge, i, reached)
+                elif i < len(edge.label):
+                    if edge.label[i] in twins:
+                        reach(cost, edge, i + 1, reached)
+                else:
+                    for t in twins:
+                        if t in edge.after:
+                            reach(cost, edge.after[t], 1, reached)
+            states = reached
             if not states:
                 return None
-        ends = [(cost, *node[""]) for node, cost in states if "" in node]
+        ends = [(cost, *edge.best) for cost, edge, i in states.values() if i == len(edge.label) and edge.best]
         return min(ends)[-1] if ends else None
 
 
+def _next(edge: _Edge, i: int) -> Iterator[tuple[str, _Edge, int]]:
+    """The characters that can follow a place, each with the place after it."""
+    if i < len(edge.label):
+        yield edge.label[i], edge, i + 1
+    else:
+        for c, e in edge.after.items():
+            yield c, e, 1
+
+
 def _char_class(chars: set[str]) -> str:
-    """A regular expression's character class of BMP characters, as ranges."""
+    """A regular expression's character class, as ranges."""
     points, ranges = sorted(map(ord, chars)), []
     for p in points:
         if ranges and p == ranges[-1][1] + 1:
@@ -144,7 +193,7 @@ def _char_class(chars: set[str]) -> str:
 
 
 # Ranges of letters and signs that have no twin in another script, as first and last code point.
-_PLAIN_RANGES = [(0x80, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+_PLAIN_RANGES = [(0x80, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF)]
 _SETTLED = {chr(c) for a, b in _PLAIN_RANGES for c in range(a, b + 1) if fold(chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and chr(c) not in _BLANKS | _HIDDEN}
 #: A character to look at: one that a settled text doesn't have, or that a spelling may mix with look-alikes.
 QUERY = f"[^\\x00-\\x7F{_char_class(_SETTLED)}]"
@@ -153,22 +202,25 @@ _SPLIT = "[" + _char_class(_BLANKS | set(BREAKS) | {" "}) + "]+"
 
 @lru_cache(1)
 def _bare() -> tuple[str, str]:
-    """For translate(): every BMP character whose first visible base letter is another, or none (left out)."""
+    """For translate(): characters whose first visible base letter is another, then those that count for none (left out).
+
+    None is what can stand behind a base letter in the canonical decomposition of some character, such as accents.
+    """
+    apart = {c: unicodedata.normalize("NFD", fold(c)) for c in _CHARS}
+    behind = {x for d in apart.values() for x in d[1:]}
     change, drop = [], []
-    for c in _BMP:
-        to = "".join(x for x in fold(c) if not unicodedata.combining(x))
-        to = "".join(x for x in unicodedata.normalize("NFD", to) if not unicodedata.combining(x))
-        if not to:
+    for c, d in apart.items():
+        to = d[:1]
+        if not to or to in behind or unicodedata.combining(to):
             drop.append(c)
-        elif to[0] != c:
-            change.append((c, to[0]))
+        elif to != c:
+            change.append((c, to))
     return "".join(c for c, _ in change) + "".join(drop), "".join(t for _, t in change)
 
 
-def bucket(token: Column, letters: int = 6) -> Column:
-    """Equal for tokens that read the same: the first bare letters and the number of them."""
-    bare = F.when(is_ascii(token), token).otherwise(F.translate(token, *_bare()))
-    return F.concat_ws(":", F.length(bare).cast("string"), F.substring(bare, 1, letters))
+def reading_key(token: Column) -> Column:
+    """A hash, equal for tokens that read the same: that of their base letters."""
+    return F.xxhash64(F.when(is_ascii(token), token).otherwise(F.translate(token, *_bare())))
 
 
 def is_ascii(text: Column) -> Column:
@@ -180,36 +232,38 @@ def to_look_at(text: Column) -> Column:
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Canonical spellings of asked tokens; rows come sorted by bucket, so one bucket's trie is held at a time."""
-    schema = pa.schema([("token", pa.string()), ("spelling", pa.string())])
-
-    def close(words: list[tuple[str, int]], asked: list[str]) -> list[tuple[str, str]]:
-        trie, whole = Trie(), {}
-        for w, n in words:
-            if is_long(w):
-                whole[fold(w)] = min(whole.get(fold(w), (_rank(w, n), w)), (_rank(w, n), w))
-            else:
-                trie.add(w, n)
-        found = ((a, whole.get(fold(a), (None, None))[1] if is_long(a) else trie.match(a)) for a in asked)
-        return [(a, fold(a) if m is None else m) for a, m in found]
-
-    at, words, asked = None, [], []
+    """Canonical spellings of asked tokens; rows come sorted by bucket, its well-spelled tokens first, so one bucket's trie is all that is held."""
+    schema = pa.schema([("token", pa.string()), ("n", pa.int64()), ("spelling", pa.string())])
+    at, trie, waiting, done = None, Trie(), [], []
+
+    def ask(token: str, n: int) -> None:
+        spelling = trie.match(token)
+        if (spelling := fold(token) if spelling is None else spelling) != token:
+            done.append((token, n, spelling))
+
+    def close() -> None:
+        for w in waiting:  # words of the trie themselves
+            ask(*w)
+        waiting.clear()
+
     for b in batches:
-        done = []
-        for k, token, n, ask in zip(*(c.to_pylist() for c in b.columns)):
-            if k != at:
-                done += close(words, asked) if asked else []
-                at, words, asked = k, [], []
-            if ask:
-                asked.append(token)
-            if well_spelled(token):
-                words.append((token, n))
-        done = [(t, s) for t, s in done if t != s]
+        for bucket, well, token, n, asked in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != at:
+                close()
+                at, trie = bucket, Trie()
+            if well:
+                trie.add(token, n)
+            if asked:
+                if well:
+                    waiting.append((token, n))
+                else:
+                    ask(token, n)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], schema=schema)
-    done = [(t, s) for t, s in (close(words, asked) if asked else []) if t != s]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+            done.clear()
+    close()
     if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,30 +282,52 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("_text", F.col(text).cast("string")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
 
 
-def spellings(docs: DataFrame, text: str, letters: int = 6) -> DataFrame:
-    """(token, spelling) for the tokens of ``docs`` whose canonical spelling is another one.
+#: Hash values that asked tokens are told by before all tokens are counted: a bound on what is broadcast.
+SLOTS = 1 << 20
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(text, _SPLIT)
 
-    Tokens of all texts are counted; those in one bucket of first bare letters and length can read the same.
-    Each bucket with a token to look up becomes a trie of its well-spelled tokens, which the automaton
-    traverses for each token that is not settled; what matches none is normalised by table.
-    """
-    tokens = docs.select(F.explode(F.split(F.col(text).cast("string"), _SPLIT)).alias("token")).where("token <> ''")
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(bucket(F.col("token"), letters).alias("bucket"), "token", "n", to_look_at(F.col("token")).alias("ask"))
-    counted = stage(counted)
-    wanted = counted.join(counted.where("ask").select("bucket").distinct(), "bucket", "left_semi")
-    return cluster(wanted, ["bucket"]).mapInArrow(_spell, "token string, spelling string")
 
+def spellings(docs: DataFrame, text: str, asked: DataFrame | None = None, trie_words: int = 5000) -> DataFrame:
+    """(token, n, spelling) for the tokens of ``docs`` whose canonical spelling is another one, with their number.
 
-def _changed_texts(docs: DataFrame, text: str, letters: int, salts: int) -> DataFrame:
+    ``asked`` has the tokens to look up (``token``; those of ``docs`` if not given). All tokens of all texts that
+    can read the same as one of them are counted: their base letters have the same hash. The hash also deals
+    them to buckets of about ``trie_words`` words, so what reads the same is in one bucket, however many words
+    share a beginning. Each bucket becomes a trie of its well-spelled tokens, which the automaton traverses for
+    each token that is not settled; what matches none is normalised by table.
+    """
+    every = docs.select(F.explode(_tokens(F.col(text).cast("string"))).alias("token")).where("token <> ''").select("token", reading_key(F.col("token")).alias("key"))
+    if asked is None:
+        asked = every.where(to_look_at(F.col("token")))
+    slot = lambda c: F.pmod(c, F.lit(SLOTS)).alias("slot")
+    slots = asked.select(slot(reading_key(F.col("token")))).distinct()  # at most SLOTS rows
+    some = every.select("token", "key", slot(F.col("key"))).join(F.broadcast(slots), "slot", "left_semi")
+    counted = stage(some.groupBy("token", "key").agg(F.count(F.lit(1)).alias("n")))
+    buckets = F.lit(max(1, counted.count() // trie_words))
+
+    @F.arrow_udf("boolean")
+    def well(token: pa.Array) -> pa.Array:
+        return pa.array([well_spelled(t) for t in token.to_pylist()], pa.bool_())
+
+    ask, text_is_ascii = to_look_at(F.col("token")), is_ascii(F.col("token"))
+    rows = counted.select(F.pmod("key", buckets).alias("bucket"), "token", "n", ask.alias("ask"))
+    rows = rows.where(text_is_ascii).withColumn("well", F.lit(True)).unionByName(rows.where(~text_is_ascii).withColumn("well", well("token")))
+    return cluster(rows.select("bucket", F.when(F.col("well"), 1).otherwise(0).alias("well"), "token", "n", "ask"), ["bucket"], [F.desc("well")]).mapInArrow(_spell, "token string, n bigint, spelling string")
+
+
+def _changed_texts(docs: DataFrame, text: str) -> DataFrame:
     """(sha, canonical) of the distinct texts that have characters to look at."""
     texts = stage(_texts(docs, text).where(to_look_at(F.col("_text"))).select(F.col("_sha").alias("sha"), F.col("_text").alias("text")).dropDuplicates(["sha"]))
-    parts = texts.select("sha", F.explode(F.array_distinct(F.split("text", _SPLIT))).alias("token")).where(to_look_at(F.col("token"))).withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(salts)).cast("int"))
-    known = spellings(docs, text, letters).select("token", "spelling", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = parts.join(known, ["token", "salt"]).groupBy("sha").agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
+    parts = stage(texts.select("sha", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token")).where(to_look_at(F.col("token"))))
+    known = stage(spellings(docs, text, parts))
+    pairs = salted_join(parts, known, ["token"], "n", F.col("sha")).groupBy("sha").agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
     return texts.join(pairs, "sha", "left").select("sha", "text", "pairs").mapInArrow(_rewrite, "sha binary, canonical string")
 
 
-def canonical_texts(docs: DataFrame, text: str, output: str = "canonical", letters: int = 6, salts: int = 8) -> DataFrame:
+def canonical_texts(docs: DataFrame, text: str, output: str = "canonical") -> DataFrame:
     """``docs`` with a column ``output``: one form of each text, equal for all texts that read the same.
 
     No difference to the reader is: the width of a character, an accent stored with its letter or apart,
@@ -261,25 +337,44 @@ def canonical_texts(docs: DataFrame, text: str, output: str = "canonical", lette
     its texts spell it so. Null stays null, an empty text empty; repeated rows, ties and empty tables are
     fine; all other columns are kept (an existing column ``output`` is replaced).
 
-    Only texts with characters to look at are rewritten, each distinct one once; ``salts`` spreads the
-    occurrences of frequent words.
+    Only texts with characters to look at are rewritten, each distinct one once; the occurrences of frequent
+    words are split by their counts.
     """
-    changed = _changed_texts(docs.select(text), text, letters, salts)
+    changed = _changed_texts(docs.select(text), text)
     rows = _texts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).cast("string").alias("_own")), "_own").withColumnRenamed("_sha", "sha")
     form = F.coalesce("canonical", "_own").alias(output)
     return rows.join(changed, "sha", "left").select(*(F.col("_row")[c].alias(c) for c in docs.columns if c != output), form)
 
 
-def look_alike_pairs(docs: DataFrame, doc_id: str, text: str, letters: int = 6, salts: int = 8) -> DataFrame:
+def _forms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, sha, form) of the documents with non-empty texts: the hashes of the text as stored and of its canonical form."""
+    full = docs.where(F.octet_length(F.col(text).cast("string")) > 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    changed = _changed_texts(full, "text").select("sha", F.unhex(F.sha2("canonical", 256)).alias("form"))
+    return stage(_texts(full, "text").select("id", F.col("_sha").alias("sha")).join(changed, "sha", "left").select("id", "sha", F.coalesce("form", "sha").alias("form")))
+
+
+def look_alike_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(<doc_id>, form, class_size, links) of the documents that look like another one: one row per document.
+
+    ``form`` is the SHA-256 of the canonical text, equal for all that read the same; ``links`` is the number of
+    documents of the class that differ as stored. Copies are counted, never paired, so a class may hold any
+    share of all rows. Null and empty texts have no class; repeated rows count as documents of their own.
+    """
+    known = _forms(docs, doc_id, text)
+    stored = known.groupBy("form", "sha").agg(F.count(F.lit(1)).alias("copies"))
+    whole = stored.groupBy("form").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
+    links = stage(stored.join(whole, "form").select("sha", "form", "class_size", (F.col("class_size") - F.col("copies")).alias("links"), "copies"))
+    return salted_join(known.select("id", "sha"), links, ["sha"], "copies", F.col("id")).select(F.col("id").alias(doc_id), F.hex("form").alias("form"), "class_size", "links")
+
+
+def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(<doc_id>_a, <doc_id>_b), a < b: documents with non-empty texts that differ as stored but read the same.
 
     Texts are compared by the SHA-256 of their canonical forms. First the distinct stored forms of one
     canonical form are paired, which are few however many copies they have; then the copies are attached.
+    The result is as long as there are pairs; :func:`look_alike_classes` says the same in a row per document.
     """
-    full = docs.where(F.octet_length(F.col(text).cast("string")) > 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    changed = _changed_texts(full, "text", letters, salts).select("sha", F.unhex(F.sha2("canonical", 256)).alias("form"))
-    known = _texts(full, "text").select("id", F.col("_sha").alias("sha")).join(changed, "sha", "left").select("id", "sha", F.coalesce("form", "sha").alias("form"))
-    known = stage(known)
+    known = _forms(docs, doc_id, text)
     several = known.groupBy("form").agg(F.min(F.hex("sha")).alias("x"), F.max(F.hex("sha")).alias("y")).where("x <> y").select("form")
     forms = stage(known.join(several, "form", "left_semi"))
     stored = forms.select("form", "sha").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.llm.lookalike import canonical_texts, look_alike_pairs
+from tidelog.llm.lookalike import canonical_texts, look_alike_classes, look_alike_pairs
 from tidelog.llm.mixing import mix
 from tidelog.llm.packing import pack
 from tidelog.llm.runs import ConsensusCost, NeighbourCost, collapse_runs
@@ -116,6 +116,12 @@ def p8_found(spark, sf):
     return look_alike_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+@R.query("p8_classes")
+def p8_classes(spark, sf):
+    """The same in a row per document: its class, the size of it, and the documents in it that differ as stored."""
+    return look_alike_classes(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @R.query("p8_canonical")
 def p8_canonical(spark, sf):
     return canonical_texts(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "canonical", (F.col("canonical") != F.col("text")).alias("changed"))

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidelog.operators.skew import salted_join
 from tidelog.session import stage
 
 
-def _repeated(windows: DataFrame, key: list[str], salts: int) -> DataFrame:
+def _repeated(windows: DataFrame, key: list[str]) -> DataFrame:
     """(rec, pos, name) of the windows (rec, pos, key) that also stand in another record; equal windows have equal names.
 
     Least and greatest record of a window differ exactly if two records hold it, and both combine before the
-    shuffle. The way back is salted by record, so that a window in a third of all records is ``salts`` tasks.
-    Names compress so well that Spark would take their tables for small ones and broadcast them: hence the hint.
+    shuffle. On the way back frequent windows are split by their counts, so that one in a third of all records
+    is many tasks.
     """
-    shared = windows.groupBy(*key).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b")
-    shared = stage(shared.select(*key, F.monotonically_increasing_id().alias("name")))
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return stage(windows.withColumn("salt", F.pmod("rec", F.lit(salts)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).select("rec", "pos", "name"))
+    shared = windows.groupBy(*key).agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    shared = stage(shared.select(*key, "n", F.monotonically_increasing_id().alias("name")))
+    return stage(salted_join(windows, shared, key, "n", F.struct("rec", "pos")).select("rec", "pos", "name"))
 
 
-def shared_spans(records: DataFrame, rec: str, content: str, min_length: int = 12, start_length: int | None = None, salts: int = 8) -> DataFrame:
+def shared_spans(records: DataFrame, rec: str, content: str, min_length: int = 12, start_length: int | None = None) -> DataFrame:
     """How much of each record stands verbatim in other records, in spans of at least ``min_length`` bytes.
 
     ``records`` has one row per record, with an id ``rec`` of any type and binary or string ``content``; a
@@ -41,13 +41,13 @@ def shared_spans(records: DataFrame, rec: str, content: str, min_length: int = 1
         raise ValueError("min_length must be start_length times a power of two")
     ids = stage(records.select(F.col(rec).alias("id"), F.col(content).cast("binary").alias("c")).where(f"octet_length(c) >= {min_length}").withColumn("rec", F.monotonically_increasing_id()))
     windows = F.transform(F.sequence(F.lit(1), F.octet_length("c") - length + 1), lambda i: F.substring("c", i, F.lit(length)))
-    level = _repeated(ids.select("rec", F.posexplode(windows).alias("pos", "w")).withColumn("pos", F.col("pos") + 1), ["w"], salts)
+    level = _repeated(ids.select("rec", F.posexplode(windows).alias("pos", "w")).withColumn("pos", F.col("pos") + 1), ["w"])
     base, tops = (level, []) if length == min_length else (None, [])
     while base is None or not level.isEmpty():
         if length >= min_length:
             tops.append(level.select("rec", F.lit(length).alias("top")).distinct())
         second = level.select("rec", (F.col("pos") - length).alias("pos"), F.col("name").alias("half2"))
-        level = _repeated(level.withColumnRenamed("name", "half1").join(second.hint("merge"), ["rec", "pos"]), ["half1", "half2"], salts)
+        level = _repeated(level.withColumnRenamed("name", "half1").join(second.hint("merge"), ["rec", "pos"]), ["half1", "half2"])
         length *= 2
         if length == min_length:
             base = level
