@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidelog.session import stage
+
 # Coefficients of the normal distribution's polynomial approximation (Abramowitz and Stegun, 26.2.17).
 NORMAL = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
 
@@ -36,8 +38,18 @@ def poisson_pmf(k: Column, rate: Column) -> Column:
     return F.when(k < 0, 0.0).when(rate == 0, F.when(k == 0, 1.0).otherwise(0.0)).otherwise(F.exp(k * F.ln(F.when(rate > 0, rate)) - rate - log_factorial(k)))
 
 
+def _summed(first: Column, last: Column, start: Column, ratio) -> Column:
+    """The sum of exp(t) over first to last, where t begins with ``start`` and grows by ``ratio(i)`` from i - 1 to i: one running term."""
+    state = F.struct(start.alias("t"), F.exp(start).alias("s"))
+    step = lambda x, i: F.struct((x["t"] + ratio(i)).alias("t"), (x["s"] + F.exp(x["t"] + ratio(i))).alias("s"))
+    more = F.when(last > first, F.sequence(first + 1, F.greatest(last, first + 1))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.aggregate(more, state, step, lambda x: x["s"])
+
+
 def poisson_cdf(k: Column, rate: Column) -> Column:
-    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(k.cast("long"), F.lit(0).cast("long"))), F.lit(0.0), lambda s, i: s + poisson_pmf(i, rate))
+    k, rate = F.greatest(k.cast("long"), F.lit(-1).cast("long")), rate.cast("double")
+    above = F.when(rate > 0, rate)
+    terms = _summed(F.lit(0).cast("long"), k, -above, lambda i: F.ln(above) - F.ln(i.cast("double")))
     return F.when(k < 0, 0.0).when(rate == 0, 1.0).otherwise(F.least(terms, F.lit(1.0)))
 
 
@@ -51,10 +63,10 @@ def binomial_sf(k: Column, n: Column, p: Column) -> Column:
     var = n * p * (1.0 - p)
     approx = normal_sf((k + 0.5 - n * p) / F.sqrt(F.when(var > 0, var)))
     inner = F.when((p > 0) & (p < 1), p)
+    odds = F.ln(inner) - F.ln(1.0 - inner)
     first = F.least(F.greatest(k + 1, F.lit(0).cast("long")), n)
-    exact = F.aggregate(
-        F.sequence(first, n), F.lit(0.0), lambda s, i: s + F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(inner) + (n - i) * F.ln(1.0 - inner))
-    )
+    start = log_factorial(n) - log_factorial(first) - log_factorial(n - first) + first * F.ln(inner) + (n - first) * F.ln(1.0 - inner)
+    exact = _summed(first, n, start, lambda i: F.ln((n - i + 1).cast("double")) - F.ln(i.cast("double")) + odds)
     return F.when(k < 0, 1.0).when(k >= n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).when(var > 25, approx).otherwise(F.least(exact, F.lit(1.0)))
 
 
@@ -98,6 +110,24 @@ def _running(counts: DataFrame, columns: list[str], ranges: int = 200) -> DataFr
     return cut.select("*", *(F.sum(c).over(inside).alias(f"{c}_in") for c in columns)).join(F.broadcast(base), "bucket").select("v", *columns, *((F.col(f"{c}_in") + F.col(f"{c}_base")).alias(f"{c}_run") for c in columns))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], discrete: bool = False) -> DataFrame:
+    """One row with an array ``q`` of the exact quantiles of a column, interpolated or (``discrete``) nearest-rank ones.
+
+    Values are counted, so that equal ones are one row, and picked by running totals over ranges: no task holds
+    all of them. Null and NaN values don't count; of none, all quantiles are null.
+    """
+    v = F.col(value).cast("double")
+    counts = stage(df.where(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("_total"))
+    at = [F.greatest(F.ceil(F.lit(s) * F.col("_total") - 1e-9) - 1, F.lit(0)).cast("double") if discrete else F.lit(s) * (F.col("_total") - 1) for s in shares]
+    inside = lambda i: (F.col("n_run") - F.col("n") <= i) & (i < F.col("n_run"))
+    picked = _running(counts, ["n"]).join(F.broadcast(total)).agg(
+        *(F.max(F.when(inside(end(p)), F.col("v"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, end in (("lo", F.floor), ("hi", F.ceil))), F.max("_total").alias("_total")
+    )
+    mixed = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]
+    return picked.select(F.array(*mixed).alias("q"))
+
+
 def ks_test(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
     """One row (n1, n2, d, p_value): the two-sample Kolmogorov-Smirnov test of two groups' values."""
     counts = _value_counts(df, value, group, first, second)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidelog.functions.stats import exact_quantiles
 from tidelog.functions.timefn import DAY_US
 from tidelog.operators.metrics import FLEET, relative_to_fleet
 from tidelog.operators.nearby import band_join
@@ -119,5 +120,5 @@ def effect_sizes(points: DataFrame, metrics: DataFrame, weeks: int = 8) -> DataF
 
 def nearest_rank_threshold(df: DataFrame, value: str, share: float) -> DataFrame:
     """The rows whose value is at least the nearest-rank percentile (the ceil(share * n)-th smallest value)."""
-    cut = df.agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias("_cut"))
+    cut = exact_quantiles(df, value, [share], discrete=True).select(F.col("q")[0].alias("_cut"))
     return df.join(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidelog.functions.stats import exact_quantiles
 from tidelog.functions.timefn import day_of_week, days_between, hours_between, trunc_ntz
 from tidelog.operators.neighbours import with_neighbour
+from tidelog.session import stage
 
 
 def matching(df: DataFrame, time: str = "datetime", start=None, end=None, year: int | None = None, **equal) -> DataFrame:
@@ -96,11 +98,11 @@ def duration_distribution(steps: DataFrame) -> DataFrame:
     """Mean, median, deviation, extremes and percentiles of the hours between steps, in one row."""
     h = "duration_hours"
     marks = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    d = steps.where("to_hash is not null and duration_hours is not null").agg(
-        F.avg(h).alias("mean_hours"), F.stddev_samp(h).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), F.percentile(h, marks).alias("p"), F.count(F.lit(1)).alias("num_transitions")
-    )
+    known = stage(steps.where("to_hash is not null and duration_hours is not null").select(h))
+    d = known.agg(F.avg(h).alias("mean_hours"), F.stddev_samp(h).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), F.count(F.lit(1)).alias("num_transitions"))
+    d = d.join(F.broadcast(exact_quantiles(known, h, marks)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return d.select(*(zero(F.col(c)).alias(c) for c in ("mean_hours", "std_hours", "min_hours", "max_hours")), *(zero(F.get("p", F.lit(i))).alias(f"p{int(m * 100)}_hours") for i, m in enumerate(marks)), "num_transitions")
+    return d.select(*(zero(F.col(c)).alias(c) for c in ("mean_hours", "std_hours", "min_hours", "max_hours")), *(zero(F.get("q", F.lit(i))).alias(f"p{int(m * 100)}_hours") for i, m in enumerate(marks)), "num_transitions")
 
 
 def periodicity(steps: DataFrame, min_steps: int = 20, strength: float = 0.3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["problems", "sequences", "entities", "behaviour", "payloads"]
+THEMES = ["problems", "sequences", "entities", "behaviour", "payloads", "evidence"]
 
 
 def all_registries():

@@ -9,6 +9,7 @@ from tidelog.functions.timefn import from_year_day
 from tidelog.operators import information as I
 from tidelog.operators.ingest import ingest
 from tidelog.plans.base import LOG, log
+from tidelog.plans.evidence import sql_binomial_sf, sql_normal_sf, sql_poisson_sf
 from tidelog.plans.registry import Registry, table
 from tidelog.session import spread, stage
 
@@ -124,10 +125,15 @@ def alphabet_capacity(spark, sf):
     return a.select("symbols", F.round(22 * each, 6).alias("field_bits"), F.ceil(F.lit(128.0) / each).alias("symbols_for_128_bits"))
 
 
+_CHI = (
+    "c AS (SELECT sum((n - e) * (n - e) / e) AS chi2, max(df) AS df FROM n, t), w AS (SELECT *, (cbrt(chi2 / df) - (1 - 2 / (9.0::DOUBLE * df))) / sqrt(2 / (9.0::DOUBLE * df)) AS w FROM c) "
+    f"SELECT round(chi2, 4) AS chi2, df, round((chi2 - df) / sqrt(2 * df), 4) AS z, round({sql_normal_sf('w')}, 6) AS p_value FROM w"
+)
+
+
 @R.query(
     "byte_uniformity",
-    _DISTINCT + f", n AS (SELECT {_HEX} AS byte, count(*) AS n FROM b GROUP BY 1), t AS (SELECT sum(n) / count(*) AS e, count(*) - 1 AS df FROM n), "
-    "c AS (SELECT sum((n - e) * (n - e) / e) AS chi2, max(df) AS df FROM n, t) SELECT round(chi2, 4) AS chi2, df, round((chi2 - df) / sqrt(2 * df), 4) AS z FROM c",
+    _DISTINCT + f", n AS (SELECT {_HEX} AS byte, count(*) AS n FROM b GROUP BY 1), t AS (SELECT sum(n) / count(*) AS e, count(*) - 1 AS df FROM n), " + _CHI,
 )
 def byte_uniformity(spark, sf):
     """Chi-squared of the bytes that occur in distinct payloads against equal shares; alphabet_uniformity counts absent symbols too."""
@@ -141,7 +147,7 @@ ALPHABET = [X.code_page().index(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 @R.query(
     "alphabet_uniformity",
     _DISTINCT + f", a AS (SELECT unnest({ALPHABET}) AS byte), k AS (SELECT {_HEX} AS byte, count(*) AS c FROM b GROUP BY 1), n AS (SELECT byte, coalesce(c, 0) AS n FROM a LEFT JOIN k USING (byte)), "
-    "t AS (SELECT sum(n) / count(*) AS e, count(*) - 1 AS df FROM n), c AS (SELECT sum((n - e) * (n - e) / e) AS chi2, max(df) AS df FROM n, t) SELECT round(chi2, 4) AS chi2, df, round((chi2 - df) / sqrt(2 * df), 4) AS z FROM c",
+    "t AS (SELECT sum(n) / count(*) AS e, count(*) - 1 AS df FROM n), " + _CHI,
 )
 def alphabet_uniformity(spark, sf):
     """Chi-squared of the alphabet's symbols in distinct payloads against equal shares; a symbol that never occurs is a cell, other bytes are none."""
@@ -151,16 +157,16 @@ def alphabet_uniformity(spark, sf):
 def uniformity(n):
     mean = n.agg(F.nullif(F.sum("n") / F.count(F.lit(1)), F.lit(0.0)).alias("expected"))
     c = stats.chi_squared(n.join(F.broadcast(mean)), "n", "expected")
-    return c.select(F.round("chi2", 4).alias("chi2"), "df", F.round("z", 4).alias("z"))
+    return c.select(F.round("chi2", 4).alias("chi2"), "df", F.round("z", 4).alias("z"), F.round("p_value", 6).alias("p_value"))
 
 
 @R.query(
     "context_model",
-    _DISTINCT + ", c AS (SELECT o AS ord, substr(h, 2 * (p - o) - 1, 2 * o) AS ctx, substr(h, 2 * p - 1, 2) AS x FROM d, generate_series(1, 22) AS g(p), generate_series(0, 3) AS k(o) WHERE o < p) "
+    _DISTINCT + ", c AS (SELECT o AS ord, substr(h, 2 * (p - o) - 1, 2 * o) AS ctx, substr(h, 2 * p - 1, 2) AS x FROM d, generate_series(1, 22) AS g(p), generate_series(0, 8) AS k(o) WHERE o < p) "
     f"SELECT CAST(ord AS INTEGER) AS ord, ctx, {_HEX} AS sym, count(*) AS cnt FROM c GROUP BY 1, 2, 3",
 )
 def context_model(spark, sf):
-    m = I.context_model(distinct_payloads(spark, sf), "message_hash", "raw_bytes", 3)
+    m = I.context_model(distinct_payloads(spark, sf), "message_hash", "raw_bytes", 8)
     return m.select("ord", F.hex("ctx").alias("ctx"), "sym", "cnt")
 
 
@@ -195,7 +201,7 @@ def random_baseline(spark, sf):
 
 
 _SUBSTRINGS = _DISTINCT + """,
-    s AS MATERIALIZED (SELECT message_hash, p, l, substr(h, 2 * p - 1, 2 * l) AS w FROM d, generate_series(1, 22) AS g(p), generate_series(10, 22) AS k(l) WHERE p + l <= 23),
+    s AS MATERIALIZED (SELECT message_hash, p, l, substr(h, 2 * p - 1, 2 * l) AS w FROM d, generate_series(1, 22) AS g(p), generate_series(6, 22) AS k(l) WHERE p + l <= 23),
     r AS (SELECT w FROM s GROUP BY w HAVING count(DISTINCT message_hash) > 1),
     o AS MATERIALIZED (SELECT * FROM s SEMI JOIN r USING (w)),
     x AS (SELECT DISTINCT w FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS q WHERE q.message_hash = o.message_hash AND q.l = o.l + 1 AND (q.p = o.p OR q.p = o.p - 1)))
@@ -205,16 +211,15 @@ _SUBSTRINGS = _DISTINCT + """,
 
 @R.query("repeated_substrings", _SUBSTRINGS)
 def repeated_substrings(spark, sf):
-    """Only the strings of 10 bytes or more; shared_substrings has all from 6 bytes on."""
-    s = I.repeated_substrings(distinct_payloads(spark, sf), "message_hash", "raw_bytes", min_length=10)
+    """The maximal strings of 6 bytes or more that at least two distinct payloads share."""
+    s = I.repeated_substrings(distinct_payloads(spark, sf), "message_hash", "raw_bytes", min_length=6)
     return s.select(F.hex("substring").alias("substring"), "length", "messages", "occurrences")
 
 
-@R.query("shared_substrings", _SUBSTRINGS.replace("generate_series(10, 22)", "generate_series(6, 22)"))
+@R.query("shared_substrings", _SUBSTRINGS)
 def shared_substrings(spark, sf):
-    """The maximal strings of 6 bytes or more that at least two distinct payloads share."""
-    s = I.repeated_substrings(distinct_payloads(spark, sf), "message_hash", "raw_bytes", min_length=6)
-    return s.select(F.hex("substring").alias("substring"), "length", "messages", "occurrences")
+    """The name under which the significance report has :func:`repeated_substrings`."""
+    return repeated_substrings(spark, sf)
 
 
 _SAMPLES = LOG + ", v AS (SELECT prn % 2 AS g, entropy AS v FROM log WHERE entropy IS NOT NULL)"
@@ -223,23 +228,25 @@ _SAMPLES = LOG + ", v AS (SELECT prn % 2 AS g, entropy AS v FROM log WHERE entro
 @R.query(
     "entropy_ks",
     _SAMPLES + ", c AS (SELECT v, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM v GROUP BY v), t AS (SELECT sum(a) AS n1, sum(b) AS n2 FROM c), "
-    "r AS (SELECT sum(a) OVER (ORDER BY v) AS ra, sum(b) OVER (ORDER BY v) AS rb FROM c) SELECT CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2, round(max(abs(ra / n1 - rb / n2)), 6) AS d FROM r, t",
+    "r AS (SELECT sum(a) OVER (ORDER BY v) AS ra, sum(b) OVER (ORDER BY v) AS rb FROM c), k AS (SELECT max(n1)::DOUBLE AS n1, max(n2)::DOUBLE AS n2, max(abs(ra / n1 - rb / n2)) AS d FROM r, t), l AS (SELECT *, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d AS lam FROM k) "
+    "SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(d, 6) AS d, round(CASE WHEN d <= 0 THEN 1.0 WHEN d >= 1 THEN 0.0 ELSE greatest(0.0, least(1.0, 2.0 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam))))) END, 6) AS p_value FROM l",
 )
 def entropy_ks(spark, sf):
     """Entropies of entities with even and with odd numbers: the Kolmogorov-Smirnov test."""
     k = stats.ks_test(log(spark, sf, "entropy").withColumn("g", F.pmod("prn", F.lit(2))), "entropy", "g", 0, 1)
-    return k.select("n1", "n2", F.round("d", 6).alias("d"))
+    return k.select("n1", "n2", F.round("d", 6).alias("d"), F.round("p_value", 6).alias("p_value"))
 
 
 @R.query(
     "entropy_rank_sum",
     _SAMPLES + ", c AS (SELECT v, count(*) FILTER (g = 0) AS a, count(*) AS t FROM v GROUP BY v), r AS (SELECT *, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS rank FROM c), "
-    "s AS (SELECT sum(a)::DOUBLE AS n1, sum(t)::DOUBLE - sum(a) AS n2, sum(rank * a) AS r1, sum(t::DOUBLE * t * t - t) AS ties FROM r) "
-    "SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round((r1 - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 4) AS z FROM s",
+    "s AS (SELECT sum(a)::DOUBLE AS n1, sum(t)::DOUBLE - sum(a) AS n2, sum(rank * a) AS r1, sum(t::DOUBLE * t * t - t) AS ties FROM r), "
+    "z AS (SELECT *, (r1 - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s) "
+    f"SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(z, 4) AS z, round(2.0 * {sql_normal_sf('abs(z)')}, 6) AS p_value FROM z",
 )
 def entropy_rank_sum(spark, sf):
     w = stats.rank_sum_test(log(spark, sf, "entropy").withColumn("g", F.pmod("prn", F.lit(2))), "entropy", "g", 0, 1)
-    return w.select("n1", "n2", F.round("z", 4).alias("z"))
+    return w.select("n1", "n2", F.round("z", 4).alias("z"), F.round("p_value", 6).alias("p_value"))
 
 
 @R.query(
@@ -258,11 +265,15 @@ def concentration(spark, sf):
     return c.join(F.broadcast(c.agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("m")))).withColumn("p", 1.0 / F.col("m"))
 
 
-@R.query("concentration_p_values")
+@R.query(
+    "concentration_p_values",
+    LOG + ", c AS (SELECT prn, count(DISTINCT message_hash) AS k FROM log WHERE starts_with(ascii_message, 'TEXT') GROUP BY 1), t AS (SELECT CAST(sum(k) AS BIGINT) AS n, 1.0::DOUBLE / count(*) AS p FROM c) "
+    f"SELECT prn, k, n, round({sql_binomial_sf('(k - 1)', 'n', 'p')}, 6) AS p_value, round({sql_poisson_sf('(k - 1)', '(n * p)')}, 6) AS poisson_p FROM c, t",
+)
 def concentration_p_values(spark, sf):
     """How probable so many texts on one entity are by chance."""
     t = concentration(spark, sf)
-    return t.select("prn", "k", "n", stats.binomial_sf(F.col("k") - 1, F.col("n"), F.col("p")).alias("p_value"), stats.poisson_sf(F.col("k") - 1, F.col("n") * F.col("p")).alias("poisson_p"))
+    return t.select("prn", "k", "n", F.round(stats.binomial_sf(F.col("k") - 1, F.col("n"), F.col("p")), 6).alias("p_value"), F.round(stats.poisson_sf(F.col("k") - 1, F.col("n") * F.col("p")), 6).alias("poisson_p"))
 
 
 @R.query("entropy_zscores", LOG + ", p AS (SELECT message_hash, max(entropy) AS e FROM log WHERE entropy IS NOT NULL GROUP BY 1), s AS (SELECT avg(e) AS m, stddev_samp(e) AS s FROM p) SELECT message_hash, round((e - m) / s, 5) AS z FROM p, s WHERE abs(e - m) > 1.96 * s")
