@@ -63,6 +63,28 @@ def test_damaged_frames(spark, frames):
     assert got["short"] is None and got["null"] is None
 
 
+def test_bulk_frames_equal_expressions(spark, frames):
+    """Encoding and parsing of batches against the column expressions: every polarity, damaged, foreign, short and missing frames."""
+    from tidelog.functions.frames import encode_frames, parse_frames
+
+    bulk = frames.select("frame", encode_frames(F.col("message"), F.col("tow"), None, F.col("complemented"), F.col("inverted")).alias("bulk")).collect()
+    assert all(r.frame == r.bulk for r in bulk)
+    rnd = random.Random(8)
+    rows = []
+    for f, secs in ((bytes(r.frame), r.secs) for r in frames.select("frame", "secs").collect()):
+        for _ in range(6):
+            b = bytearray(f)
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                b[rnd.choice([0, 3, 4, 5, 6, 7, 8, 20, rnd.randrange(38)])] ^= 1 << rnd.randrange(8)
+            rows.append((bytes(b), rnd.choice([secs, secs, None, 0])))
+    rows += [(bytes(rnd.randrange(256) for _ in range(38)), 60) for _ in range(100)] + [(rows[0][0][:37], 0), (b"", 0), (None, 0), (None, None)]
+    df = spark.createDataFrame(rows, "f binary, s int").repartition(3)
+    got = df.select(bits.parse_frame(F.col("f"), F.col("s")).alias("a"), parse_frames(F.col("f"), F.col("s")).alias("b"), bits.parse_frame(F.col("f")).alias("c"), parse_frames(F.col("f")).alias("d")).collect()
+    assert len(got) == len(rows) and all(r.a == r.b and r.c == r.d for r in got)
+    assert len({(r.a.page_number, r.a.parity_ok, r.a.inverted) for r in got if r.a}) > 5
+    assert df.where("false").select(parse_frames(F.col("f"))).count() == 0
+
+
 def test_time_of_week_wraps(spark):
     w2 = 0 << 13 | 4 << 8
     r = one(spark.range(1), bits.handover(F.lit(w2).cast("long"), F.lit(86_394)).alias("h"), bits.handover(F.lit(w2 ^ 0x3FFFFFFF).cast("long"), F.lit(86_394)).alias("i"))[0]

@@ -141,3 +141,8 @@ def size_text(n: Column) -> Column:
 
 def days_in_year(year: Column) -> Column:
     return F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
+
+
+def quotable(text: Column) -> Column:
+    """A text that can stand between back-ticks."""
+    return F.translate(text, "`", "'")

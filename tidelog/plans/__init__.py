@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["problems", "sequences", "entities", "behaviour", "payloads", "evidence"]
+THEMES = ["problems", "sequences", "entities", "behaviour", "payloads", "evidence", "archive"]
 
 
 def all_registries():

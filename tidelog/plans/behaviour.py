@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.stats import exact_quantiles
 from tidelog.functions.timefn import DAY_US, days_between, trunc_ntz
 from tidelog.operators import audit, changepoint as C, metrics as M, nearby as N
 from tidelog.operators.sentinels import sentinel_events
@@ -26,7 +27,7 @@ def _sums(unit: str, name: str) -> str:
         FROM (SELECT date_trunc('{unit}', datetime)::TIMESTAMP AS p, prn, message_hash, ascii_message, entropy, count(*) AS n FROM log GROUP BY ALL) GROUP BY 1, 2)"""
 
 
-_METRICS = CHANGES + f""",
+_ALL = CHANGES + f""",
     {_sums('day', 'dd')}, {_sums('week', 'ww')},
     pw AS (SELECT date_trunc('week', transition_time)::TIMESTAMP AS period_start, prn, count(*) AS changes, CASE WHEN avg(held_hours) > 0 THEN avg(held_hours) END AS held FROM changes GROUP BY 1, 2),
     fh AS (SELECT date_trunc('week', transition_time)::TIMESTAMP AS period_start, avg(held_hours) AS held FROM changes WHERE held_hours > 0 GROUP BY 1),
@@ -39,6 +40,8 @@ _METRICS = CHANGES + f""",
         UNION ALL SELECT period_start, 'weekly', 0, obs, changes, uniq, ent, sent, txt, active, held FROM (SELECT period_start, sum(obs) AS obs, sum(uniq) AS uniq, sum(ent) AS ent, sum(sent) AS sent, sum(txt) AS txt, count(*) AS active FROM ww GROUP BY 1) LEFT JOIN fc USING (period_start) LEFT JOIN fh USING (period_start)
         UNION ALL SELECT w.period_start, 'weekly', sp.prn, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sp JOIN (SELECT DISTINCT period_start FROM ww) w ON w.period_start > sp.a AND w.period_start < sp.b
             WHERE NOT EXISTS (SELECT 1 FROM ww WHERE ww.prn = sp.prn AND ww.period_start = w.period_start))
+"""
+_METRICS = _ALL + """
     SELECT period_start, granularity, prn, CAST(obs AS BIGINT) AS observation_count, CAST(changes AS BIGINT) AS transition_count, CAST(uniq AS BIGINT) AS unique_message_count, round(ent / nullif(obs, 0) + 1e-10, 6) AS mean_entropy,
            round(sent / nullif(obs, 0), 6) AS sentinel_fraction, round(txt / nullif(obs, 0), 6) AS text_fraction, CAST(active AS BIGINT) AS active_prn_count, round(held + 1e-10, 6) AS mean_duration_hours FROM al
 """
@@ -81,31 +84,106 @@ def silent_weeks(spark, sf):
     return M.silent_periods(log(spark, sf).select(trunc_ntz("week", "datetime").alias("period_start"), "prn").distinct())
 
 
-@R.query("change_points")
+#: Change points in SQL from a table g of metrics: each series as a list, then the cumulative sums step by step.
+_POINTS = """,
+    fl AS (SELECT granularity, period_start, max(observation_count / active_prn_count) AS mean FROM g WHERE prn = 0 AND active_prn_count > 0 GROUP BY 1, 2),
+    rel AS (SELECT g.*, CASE WHEN prn = 0 THEN observation_count WHEN mean > 0 THEN observation_count / mean END::DOUBLE AS relative_count FROM g LEFT JOIN fl USING (granularity, period_start)),
+    lng AS (SELECT granularity, prn, period_start, 'sentinel_fraction' AS metric, sentinel_fraction::DOUBLE AS v FROM rel UNION ALL SELECT granularity, prn, period_start, 'text_fraction', text_fraction FROM rel
+            UNION ALL SELECT granularity, prn, period_start, 'mean_duration_hours', mean_duration_hours FROM rel UNION ALL SELECT granularity, prn, period_start, 'observation_count', relative_count FROM rel WHERE granularity <> 'daily'
+            UNION ALL SELECT granularity, prn, period_start, 'transition_count', transition_count FROM rel WHERE granularity <> 'daily' UNION ALL SELECT granularity, prn, period_start, 'unique_message_count', unique_message_count FROM rel WHERE granularity <> 'daily'),
+    ser AS (SELECT granularity, prn, metric, list(v ORDER BY period_start) AS x, list(period_start ORDER BY period_start) AS at, count(*) AS m FROM lng WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3),
+    st AS (SELECT *, x[1:CAST(greatest(1, round_even(m * 0.2, 0)) AS BIGINT)] AS ref FROM ser WHERE m >= 8),
+    cus AS (
+        SELECT granularity, prn, metric, CAST(0 AS BIGINT) AS k, list_avg(ref) AS mean, CASE WHEN list_stddev_samp(ref) > 0 THEN list_stddev_samp(ref) ELSE 1.0 END AS dev, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, CAST(0 AS BIGINT) AS ua, CAST(0 AS BIGINT) AS da, CAST(NULL AS BIGINT) AS onset FROM st
+        UNION ALL
+        SELECT granularity, prn, metric, k + 1, CASE WHEN renew THEN list_avg(part) ELSE mean END, CASE WHEN NOT renew THEN dev WHEN list_stddev_samp(part) > 0 THEN list_stddev_samp(part) ELSE 1.0 END,
+               CASE WHEN o IS NULL THEN u ELSE 0.0 END, CASE WHEN o IS NULL THEN d ELSE 0.0 END, CASE WHEN o IS NULL THEN na ELSE k + 1 END, CASE WHEN o IS NULL THEN nd ELSE k + 1 END, o
+        FROM (SELECT *, x[o + 2:stop] AS part, coalesce(stop - o - 1 >= 8, false) AS renew
+              FROM (SELECT *, least(m, o + 1 + CAST(greatest(8, round_even((m - o - 1) * 0.2, 0)) AS BIGINT)) AS stop
+                    FROM (SELECT *, CASE WHEN u > 5 THEN na WHEN d > 5 THEN nd END AS o
+                          FROM (SELECT *, CASE WHEN u > 0 AND up = 0 THEN k ELSE ua END AS na, CASE WHEN d > 0 AND dn = 0 THEN k ELSE da END AS nd
+                                FROM (SELECT c.*, s.x, s.m, greatest(0.0, c.up + (s.x[c.k + 1] - c.mean) / c.dev - 0.5) AS u, greatest(0.0, c.dn - (s.x[c.k + 1] - c.mean) / c.dev - 0.5) AS d
+                                      FROM cus c JOIN st s USING (granularity, prn, metric) WHERE c.k < s.m)))))),
+    fnd AS (SELECT c.granularity, c.prn, c.metric, s.at[c.onset + 1] AS detected_at, CASE WHEN s.x[c.onset + 1] >= list_avg(s.ref) THEN 'increase' ELSE 'decrease' END AS direction FROM cus c JOIN st s USING (granularity, prn, metric) WHERE c.onset IS NOT NULL),
+    oth AS (SELECT DISTINCT granularity, metric, prn AS other, detected_at AS other_at FROM fnd WHERE prn <> 0),
+    cnt AS (SELECT f.granularity, f.metric, f.prn, f.detected_at, count(DISTINCT other) AS n FROM (SELECT DISTINCT granularity, metric, prn, detected_at FROM fnd) f JOIN oth o ON o.granularity = f.granularity AND o.metric = f.metric AND other <> f.prn
+            AND other_at BETWEEN f.detected_at - INTERVAL 3 DAY AND f.detected_at + INTERVAL 3 DAY GROUP BY ALL),
+    points AS (SELECT detected_at, granularity, prn, metric, direction, 5.0::DOUBLE AS cusum_statistic, prn <> 0 AND coalesce(n, 0) + 1 >= 3 AS is_coordinated, coalesce(n, 0) + CASE WHEN prn <> 0 THEN 1 ELSE 0 END AS coordinated_prn_count
+               FROM fnd LEFT JOIN cnt USING (granularity, metric, prn, detected_at))
+"""
+_SIX = "sentinel_fraction text_fraction observation_count transition_count unique_message_count mean_duration_hours".split()
+_GIVEN_ALL = "WITH RECURSIVE g AS (SELECT CAST(period_start AS DATE)::TIMESTAMP AS period_start, granularity, prn, " + ", ".join(f"max({c}) AS {c}" for c in [*_SIX, "active_prn_count"]) + " FROM behavioral_metrics GROUP BY 1, 2, 3)"
+_COMPUTED = _ALL.replace("WITH log AS", "WITH RECURSIVE log AS", 1) + """,
+    g AS (SELECT period_start, granularity, prn, CAST(obs AS BIGINT) AS observation_count, CAST(changes AS BIGINT) AS transition_count, CAST(uniq AS BIGINT) AS unique_message_count, sent / nullif(obs, 0) AS sentinel_fraction,
+                 txt / nullif(obs, 0) AS text_fraction, CAST(active AS BIGINT) AS active_prn_count, held AS mean_duration_hours FROM al)
+"""
+_POINT_COLUMNS = "detected_at, granularity, prn, metric, direction, cusum_statistic, is_coordinated, coordinated_prn_count"
+_EFFECTS = _GIVEN_ALL + _POINTS + """,
+    raw AS (""" + " UNION ALL ".join(f"SELECT granularity, prn, period_start, '{c}' AS metric, {c}::DOUBLE AS v FROM g WHERE {c} IS NOT NULL" for c in _SIX) + """),
+    nr AS (SELECT p.granularity, p.prn, p.metric, p.detected_at, avg(v) FILTER (period_start < detected_at) AS m1, avg(v) FILTER (period_start >= detected_at) AS m2, var_samp(v) FILTER (period_start < detected_at) AS v1,
+                  var_samp(v) FILTER (period_start >= detected_at) AS v2, count(*) FILTER (period_start < detected_at) AS n1, count(*) FILTER (period_start >= detected_at) AS n2
+           FROM (SELECT DISTINCT granularity, prn, metric, detected_at FROM points) p JOIN raw r ON r.granularity = p.granularity AND r.prn = p.prn AND r.metric = p.metric AND period_start >= detected_at - INTERVAL 56 DAY AND period_start < detected_at + INTERVAL 56 DAY GROUP BY 1, 2, 3, 4),
+    pl AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / nullif(n1 + n2 - 2, 0)) AS pooled FROM nr),
+    eff AS (SELECT points.*, coalesce(CASE WHEN n1 >= 2 AND n2 >= 2 AND pooled >= 1e-12 THEN abs(m2 - m1) / pooled ELSE 0.0 END, 0.0) AS effect_size FROM points LEFT JOIN pl USING (granularity, prn, metric, detected_at))
+"""
+
+
+@R.query("change_points", _GIVEN_ALL + _POINTS + f"SELECT {_POINT_COLUMNS} FROM points")
 def change_points(spark, sf):
+    """Of the given table; three entities make a shift coordinated here, as its small editions have few."""
     return C.change_points(given(spark, sf), coordinated=3)
 
 
-@R.query("change_points_of_log")
+@R.query("change_points_of_log", _COMPUTED + _POINTS + f"SELECT {_POINT_COLUMNS} FROM points")
 def change_points_of_log(spark, sf):
     """From the log itself: its metrics, then their change points."""
     return C.change_points(computed(spark, sf), coordinated=3)
 
 
-@R.query("change_point_counts")
+@R.query(
+    "change_point_counts",
+    _GIVEN_ALL + _POINTS + "SELECT granularity, metric, direction, count(*) AS points, count(*) FILTER (is_coordinated) AS coordinated, count(DISTINCT prn) AS prns FROM points GROUP BY 1, 2, 3",
+)
 def change_point_counts(spark, sf):
     c = change_points(spark, sf)
     return c.groupBy("granularity", "metric", "direction").agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("is_coordinated").cast("int")).alias("coordinated"), F.count_distinct("prn").alias("prns"))
 
 
-@R.query("effect_sizes")
+def effects(spark, sf):
+    return C.effect_sizes(stage(change_points(spark, sf)), given(spark, sf))
+
+
+@R.query("effect_sizes", _EFFECTS + f"SELECT {_POINT_COLUMNS}, round(effect_size, 6) AS effect_size FROM eff")
 def effect_sizes(spark, sf):
-    return C.effect_sizes(change_points(spark, sf), given(spark, sf))
+    return effects(spark, sf).withColumn("effect_size", F.round("effect_size", 6))
 
 
-@R.query("largest_effects")
+@R.query("largest_effects", _EFFECTS + f", q AS (SELECT min(e) AS cut FROM (SELECT effect_size AS e, cume_dist() OVER (ORDER BY effect_size) AS c FROM eff) WHERE c >= 0.9) SELECT {_POINT_COLUMNS}, round(effect_size, 6) AS effect_size FROM eff, q WHERE effect_size >= cut")
 def largest_effects(spark, sf):
-    return C.nearest_rank_threshold(effect_sizes(spark, sf), "effect_size", 0.9)
+    return C.nearest_rank_threshold(stage(effects(spark, sf)), "effect_size", 0.9).withColumn("effect_size", F.round("effect_size", 6))
+
+
+@R.query("effect_percentiles", _EFFECTS + "SELECT round(quantile_cont(effect_size, 0.5), 6) AS median, round(quantile_cont(effect_size, 0.75), 6) AS p75, round(quantile_cont(effect_size, 0.9), 6) AS p90 FROM eff")
+def effect_percentiles(spark, sf):
+    q = exact_quantiles(effects(spark, sf), "effect_size", [0.5, 0.75, 0.9])
+    return q.select(*(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("median", "p75", "p90"))))
+
+
+@R.query(
+    "points_by_entity",
+    _GIVEN_ALL + _POINTS + "SELECT prn, count(*) AS points, count(*) FILTER (is_coordinated) AS coordinated, min(detected_at) AS first_at, max(detected_at) AS last_at FROM points GROUP BY prn",
+)
+def points_by_entity(spark, sf):
+    return change_points(spark, sf).groupBy("prn").agg(F.count(F.lit(1)).alias("points"), F.count(F.when(F.col("is_coordinated"), 1)).alias("coordinated"), F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at"))
+
+
+@R.query(
+    "shift_dates",
+    _GIVEN_ALL + _POINTS + "SELECT detected_at, metric, direction, max(coordinated_prn_count) AS prns, min(granularity) AS granularity FROM points GROUP BY 1, 2, 3",
+)
+def shift_dates(spark, sf):
+    """Shifts of one day, metric and direction as one, with the most entities that coordinated in it."""
+    return change_points(spark, sf).groupBy("detected_at", "metric", "direction").agg(F.max("coordinated_prn_count").alias("prns"), F.min("granularity").alias("granularity"))
 
 
 _ADV = "adv AS (SELECT nanu_id, prn AS nanu_prn, nanu_type, msg_datetime FROM (SELECT *, row_number() OVER (PARTITION BY nanu_id ORDER BY source_file, msg_datetime NULLS FIRST, prn NULLS FIRST, nanu_type NULLS FIRST) AS r FROM nanu_records) WHERE r = 1)"
@@ -165,7 +243,13 @@ def advisory_type_matches(spark, sf):
     return t.withColumn("share", F.round(F.col("matched") / F.col("total"), 6))
 
 
-@R.query("change_point_advisories")
+_NEAR_POINTS = _GIVEN_ALL + _POINTS + f""", {_ADV},
+    cpa AS (SELECT detected_at AS cp_detected_at, granularity AS cp_granularity, prn AS cp_prn, metric AS cp_metric, nanu_id, nanu_type, nanu_prn, (epoch_us(detected_at) - epoch_us(msg_datetime)) / 8.64e10 AS time_offset_days, coalesce(nanu_prn = prn, false) AS prn_match
+            FROM points JOIN adv ON abs(epoch_us(detected_at) - epoch_us(msg_datetime)) <= CASE WHEN granularity = 'weekly' THEN 7 ELSE 3 END * 86400000000 AND (prn = 0 OR nanu_prn IS NULL OR nanu_prn = prn))
+"""
+
+
+@R.query("change_point_advisories", _NEAR_POINTS + "SELECT * REPLACE (round(time_offset_days, 6) AS time_offset_days) FROM cpa")
 def change_point_advisories(spark, sf):
     """Change points and the advisories near them: 7 days for weekly, 3 for daily ones; the fleet's match any advisory."""
     points, a = change_points(spark, sf), advisories(spark, sf)
@@ -173,7 +257,7 @@ def change_point_advisories(spark, sf):
     parts = [N.band_join(points.where(F.col("granularity") == g), a, "detected_at", "msg_datetime", d * DAY_US, d * DAY_US, condition=same) for g, d in (("weekly", 7), ("daily", 3))]
     return parts[0].unionByName(parts[1]).select(
         F.col("detected_at").alias("cp_detected_at"), F.col("granularity").alias("cp_granularity"), F.col("prn").alias("cp_prn"), F.col("metric").alias("cp_metric"), "nanu_id", "nanu_type", "nanu_prn",
-        days_between("msg_datetime", "detected_at").alias("time_offset_days"), F.coalesce(F.col("nanu_prn") == F.col("prn"), F.lit(False)).alias("prn_match"),
+        F.round(days_between("msg_datetime", "detected_at"), 6).alias("time_offset_days"), F.coalesce(F.col("nanu_prn") == F.col("prn"), F.lit(False)).alias("prn_match"),
     )
 
 
@@ -190,7 +274,7 @@ def advisory_permutations(spark, sf):
     e = stage(sentinel_events(log(spark, sf, "ascii_message", "entropy")).select(*keys).distinct())
     fillers = N.matched_by_rep(e, reps.where("life"), keys, "event_date", "msg_datetime", 14 * DAY_US, repeats, "prn", "nanu_prn")
     keys = ["detected_at", "prn", "metric"]
-    strong = C.nearest_rank_threshold(stage(effect_sizes(spark, sf)), "effect_size", 0.75)
+    strong = C.nearest_rank_threshold(stage(effects(spark, sf)), "effect_size", 0.75)
     c = stage(strong.groupBy(*keys).agg(F.max(F.col("granularity") == "weekly").alias("weekly")))
     parts = [N.matched_by_rep(c.where(k), reps, keys, "detected_at", "msg_datetime", d * DAY_US, repeats, "prn", "nanu_prn", M.FLEET) for k, d in (("weekly", 7), ("not weekly", 3))]
     points = parts[0].unionByName(parts[1]).groupBy("rep").agg(F.sum("matched").alias("matched"))
@@ -218,7 +302,10 @@ def changes_near_advisories(spark, sf):
     return N.band_join(c, advisories(spark, sf).where("nanu_prn is not null"), "transition_time", "msg_datetime", DAY_US, DAY_US, ["nanu_prn"]).groupBy("nanu_id", "nanu_prn").agg(F.count(F.lit(1)).alias("changes"))
 
 
-@R.query("change_point_match_rate")
+@R.query(
+    "change_point_match_rate",
+    _NEAR_POINTS + "SELECT (SELECT count(*) FROM (SELECT DISTINCT cp_detected_at, cp_prn, cp_metric FROM cpa)) AS matched, (SELECT count(*) FROM (SELECT DISTINCT detected_at, prn, metric FROM points)) AS total",
+)
 def change_point_match_rate(spark, sf):
     """Change points (by time, entity and metric) with an advisory nearby, and all of them."""
     keys = ["detected_at", "prn", "metric"]
@@ -226,6 +313,64 @@ def change_point_match_rate(spark, sf):
     return change_points(spark, sf).select(*keys).distinct().join(hit, keys, "left").agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total"))
 
 
+@R.query(
+    "lonely_change_points",
+    _GIVEN_ALL + _POINTS + f", {_ADV} SELECT detected_at, granularity, prn, metric FROM points p WHERE NOT EXISTS (SELECT 1 FROM adv WHERE nanu_prn = p.prn AND abs(epoch_us(detected_at) - epoch_us(msg_datetime)) <= 3 * 86400000000)",
+)
+def lonely_change_points(spark, sf):
+    """Change points without an advisory to their own entity within 3 days."""
+    points = change_points(spark, sf).select("detected_at", "granularity", F.col("prn").alias("nanu_prn"), "metric")
+    alone = N.band_join(points, advisories(spark, sf).where("nanu_prn is not null"), "detected_at", "msg_datetime", 3 * DAY_US, 3 * DAY_US, ["nanu_prn"], how="left_anti")
+    return alone.withColumnRenamed("nanu_prn", "prn")
+
+
+@R.query(
+    "lonely_events",
+    _EVENTS + f", {_ADV} SELECT prn, sentinel_type, event_type, event_date FROM events e WHERE NOT EXISTS (SELECT 1 FROM adv WHERE nanu_prn = e.prn AND abs(epoch_us(event_date) - epoch_us(msg_datetime)) <= 86400000000)",
+)
+def lonely_events(spark, sf):
+    """Filler events without an advisory to their own entity within a day."""
+    e = sentinel_events(log(spark, sf, "ascii_message", "entropy")).withColumnRenamed("prn", "nanu_prn")
+    alone = N.band_join(e, advisories(spark, sf).where("nanu_prn is not null"), "event_date", "msg_datetime", DAY_US, DAY_US, ["nanu_prn"], how="left_anti")
+    return alone.withColumnRenamed("nanu_prn", "prn")
+
+
+_MILESTONES = "ms AS (SELECT nanu_type AS milestone, date_trunc('week', msg_datetime)::TIMESTAMP AS week, min(msg_datetime) AS sent FROM adv GROUP BY 1, 2)"
+
+
+@R.query(
+    "milestone_matches",
+    _GIVEN_ALL + _POINTS + f", {_ADV}, {_MILESTONES}, "
+    "cp AS (SELECT DISTINCT detected_at FROM points WHERE is_coordinated), j AS (SELECT milestone, week, detected_at, epoch_us(detected_at) - epoch_us(sent) AS offset_us FROM ms JOIN cp ON abs(epoch_us(detected_at) - epoch_us(sent)) <= 10 * 86400000000), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY milestone, week ORDER BY abs(offset_us), offset_us) AS r FROM j) SELECT milestone, week, detected_at, offset_us FROM k WHERE r = 1",
+)
+def milestone_matches(spark, sf):
+    """For the first advisory of each type in each week: the nearest day of a coordinated shift within 10 days."""
+    points = change_points(spark, sf).where("is_coordinated").select("detected_at").distinct()
+    return N.nearest(milestones(spark, sf), points, "id", "sent", "detected_at", 10 * DAY_US).select("milestone", "week", "detected_at", "offset_us")
+
+
+def milestones(spark, sf):
+    a = advisories(spark, sf).groupBy(F.col("nanu_type").alias("milestone"), trunc_ntz("week", "msg_datetime").alias("week")).agg(F.min("msg_datetime").alias("sent"))
+    return a.withColumn("id", F.concat_ws(" ", F.coalesce("milestone", F.lit("")), F.col("week").cast("string")))
+
+
+@R.query(
+    "concordance",
+    _GIVEN_ALL + _POINTS + f", {_ADV}, {_MILESTONES}, "
+    "t AS (SELECT milestone, week, EXISTS (SELECT 1 FROM points WHERE is_coordinated AND abs(epoch_us(detected_at) - epoch_us(sent)) <= 10 * 86400000000) AS shift, "
+    "EXISTS (SELECT 1 FROM points WHERE NOT is_coordinated AND abs(epoch_us(detected_at) - epoch_us(sent)) <= 3 * 86400000000) AS single FROM ms) "
+    "SELECT milestone, count(*) AS weeks, count(*) FILTER (shift) AS with_shift, count(*) FILTER (single) AS with_single, count(*) FILTER (shift = single) AS agreeing FROM t GROUP BY milestone",
+)
+def concordance(spark, sf):
+    """Per type of advisory: weeks near a coordinated shift (10 days), near another one (3 days), and those in which both tests agree."""
+    points, ms = stage(change_points(spark, sf)), milestones(spark, sf)
+    near = lambda p, d, name: N.band_join(ms, p.select("detected_at").distinct(), "sent", "detected_at", d * DAY_US, d * DAY_US).select("id").distinct().withColumn(name, F.lit(True))
+    t = ms.join(near(points.where("is_coordinated"), 10, "shift"), "id", "left").join(near(points.where("not is_coordinated"), 3, "single"), "id", "left")
+    a, b = F.coalesce("shift", F.lit(False)), F.coalesce("single", F.lit(False))
+    return t.groupBy("milestone").agg(F.count(F.lit(1)).alias("weeks"), F.count("shift").alias("with_shift"), F.count("single").alias("with_single"), F.count(F.when(a == b, 1)).alias("agreeing"))
+
+
 @R.query(
     "rotation_rate",
     "WITH w AS (SELECT CAST(period_start AS DATE) AS day, prn, max(unique_message_count) AS u, max(transition_count) AS t FROM behavioral_metrics WHERE granularity = 'weekly' AND prn <> 0 GROUP BY 1, 2) "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.timefn import trunc_ntz
 from tidelog.operators import audit as A, entity as E
 from tidelog.plans.base import LOG, log
 from tidelog.plans.problems import identifier
@@ -152,6 +153,60 @@ def conflicts_by_message_pair(spark, sf):
     return c.groupBy("existing_hash", "new_hash").agg(F.count(F.lit(1)).alias("conflicts"), F.sort_array(F.collect_set("prn")).alias("prns")).orderBy(F.desc("conflicts"), "existing_hash", "new_hash").limit(50)
 
 
+#: The same log by hours, each payload of an entity once an hour: an entity may send several in an hour.
+_HOURS = """
+    WITH log AS (SELECT date_trunc('hour', datetime)::TIMESTAMP AS datetime, prn, lower(message_hash) AS message_hash, source_file, obs_id FROM
+        (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', datetime), prn, lower(message_hash) ORDER BY obs_id) AS r FROM special_messages) WHERE r = 1)
+"""
+
+
+def hours(spark, sf):
+    m = table(spark, sf, "special_messages").select(trunc_ntz("hour", "datetime").alias("datetime"), "prn", F.lower("message_hash").alias("message_hash"), "obs_id", "source_file")
+    return m.groupBy("datetime", "prn", "message_hash").agg(F.min(F.struct("obs_id", "source_file")).alias("_m")).select("datetime", "prn", "message_hash", "_m.*")
+
+
+@R.query("conflicting_hours", "SELECT date_trunc('hour', datetime)::TIMESTAMP AS datetime, prn, count(DISTINCT lower(message_hash)) AS messages FROM special_messages GROUP BY 1, 2 HAVING count(DISTINCT lower(message_hash)) > 1")
+def conflicting_hours(spark, sf):
+    return E.conflicting_times(hours(spark, sf))
+
+
+@R.query(
+    "conflicts_in_hours",
+    _HOURS + ", k AS (SELECT *, first_value(message_hash) OVER w AS existing_hash, first_value(source_file) OVER w AS existing_source, row_number() OVER w AS k FROM log WINDOW w AS (PARTITION BY datetime, prn ORDER BY obs_id)) "
+    "SELECT datetime, prn, existing_hash, existing_source, message_hash AS new_hash, source_file AS new_source FROM k WHERE k > 1",
+)
+def conflicts_in_hours(spark, sf):
+    """Each payload that arrives in an hour in which its entity already has another, paired with the first to arrive."""
+    return A.conflicting_deliveries(hours(spark, sf))
+
+
+@R.query(
+    "hour_conflicts_by_entity",
+    _HOURS + _PAIRS + "SELECT prn, count(*) AS conflicts, count(DISTINCT message_hash) AS new_messages, min(datetime) AS first_at, max(datetime) AS last_at FROM c GROUP BY prn",
+)
+def hour_conflicts_by_entity(spark, sf):
+    c = A.conflicting_deliveries(hours(spark, sf))
+    return c.groupBy("prn").agg(F.count(F.lit(1)).alias("conflicts"), F.count_distinct("new_hash").alias("new_messages"), F.min("datetime").alias("first_at"), F.max("datetime").alias("last_at"))
+
+
+@R.query(
+    "hour_conflicts_by_source_pair",
+    _HOURS + _PAIRS + "SELECT fs AS existing_source, source_file AS new_source, count(*) AS conflicts FROM c GROUP BY 1, 2 ORDER BY conflicts DESC, existing_source, new_source LIMIT 50",
+)
+def hour_conflicts_by_source_pair(spark, sf):
+    c = A.conflicting_deliveries(hours(spark, sf))
+    return c.groupBy("existing_source", "new_source").agg(F.count(F.lit(1)).alias("conflicts")).orderBy(F.desc("conflicts"), "existing_source", "new_source").limit(50)
+
+
+@R.query(
+    "hour_conflicts_by_message_pair",
+    _HOURS + _PAIRS + "SELECT fh AS existing_hash, message_hash AS new_hash, count(*) AS conflicts, list_sort(list(DISTINCT prn)) AS prns FROM c GROUP BY 1, 2 ORDER BY conflicts DESC, existing_hash, new_hash LIMIT 50",
+)
+def hour_conflicts_by_message_pair(spark, sf):
+    c = A.conflicting_deliveries(hours(spark, sf))
+    return c.groupBy("existing_hash", "new_hash").agg(F.count(F.lit(1)).alias("conflicts"), F.sort_array(F.collect_set("prn")).alias("prns")).orderBy(F.desc("conflicts"), "existing_hash", "new_hash").limit(50)
+
+
 @R.query(
     "advisories_once",
     "SELECT nanu_id, msg_datetime, prn, nanu_type, category, event_start, event_stop, source_file FROM (SELECT *, row_number() OVER (PARTITION BY nanu_id ORDER BY source_file, msg_datetime NULLS FIRST, prn NULLS FIRST, nanu_type NULLS FIRST, category NULLS FIRST, event_start NULLS FIRST, event_stop NULLS FIRST) AS r FROM nanu_records) WHERE r = 1",
@@ -173,12 +228,14 @@ def metrics_upserted(spark, sf):
 
 @R.query(
     "advisories_inserted",
-    "SELECT nanu_id, min(source_file) AS source_file FROM nanu_records GROUP BY nanu_id",
+    "WITH f AS (SELECT nanu_id, source_file, 'first' AS edition FROM (SELECT nanu_id, min(source_file) AS source_file FROM nanu_records WHERE category <> 'forecast' GROUP BY 1)), "
+    "l AS (SELECT nanu_id, max(source_file) AS source_file, 'last' AS edition FROM nanu_records GROUP BY 1) SELECT * FROM f UNION ALL SELECT * FROM l WHERE nanu_id NOT IN (SELECT nanu_id FROM f)",
 )
 def advisories_inserted(spark, sf):
-    """Records of known advisories, and after them those whose key isn't there yet."""
-    n = table(spark, sf, "nanu_records").groupBy("nanu_id").agg(F.min("source_file").alias("source_file"))
-    return A.insert_new(n.where("nanu_id like '%1'"), n, ["nanu_id"])
+    """First editions of what is no forecast, then the last editions of all whose key isn't there yet: known keys keep their row."""
+    n = table(spark, sf, "nanu_records").select("nanu_id", "source_file", "category")
+    known = n.where("category <> 'forecast'").groupBy("nanu_id").agg(F.min("source_file").alias("source_file"), F.lit("first").alias("edition"))
+    return A.insert_new(known, n.groupBy("nanu_id").agg(F.max("source_file").alias("source_file"), F.lit("last").alias("edition")), ["nanu_id"])
 
 
 @R.query(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import bits, stats, text as X
+from tidelog.functions.frames import encode_frames, parse_frames
 from tidelog.functions.timefn import from_year_day
 from tidelog.operators import information as I
 from tidelog.operators.ingest import ingest
 from tidelog.plans.base import LOG, log
 from tidelog.plans.evidence import sql_binomial_sf, sql_normal_sf, sql_poisson_sf
 from tidelog.plans.registry import Registry, table
-from tidelog.session import spread, stage
+from tidelog.session import stage
 
 R = Registry()
 
@@ -29,13 +30,13 @@ _HEX = "CAST((instr('0123456789ABCDEF', substr(x, 1, 1)) - 1) * 16 + instr('0123
 @R.query("frames_decoded", "SELECT obs_id, seconds_of_day, alert_flag, hex(raw_bytes) AS payload, 4 AS subframe_id, 17 AS page_number, 55 AS sv_id, true AS parity_ok FROM special_messages")
 def frames_decoded(spark, sf):
     """Every message as packed frames, polarity and complementing by row, identified and decoded again."""
-    m = spread(table(spark, sf, "special_messages").select("obs_id", "seconds_of_day", "alert_flag", "raw_bytes"))
+    m = table(spark, sf, "special_messages").select("obs_id", "seconds_of_day", "alert_flag", "raw_bytes")
     at = F.pmod(F.col("seconds_of_day") - F.pmod(F.col("seconds_of_day"), F.lit(6)), F.lit(86_400))  # frames begin every six seconds
     tow = F.pmod((at + 6) / F.lit(6), F.lit(14_400.0)).cast("int")
     odd = lambda n: F.pmod(F.floor(F.col("obs_id") / F.lit(n)), F.lit(2)) == 1
-    frame = bits.encode_frame(F.col("raw_bytes"), tow, F.col("alert_flag"), complemented=odd(1), inverted=odd(2))
+    frame = encode_frames(F.col("raw_bytes"), tow, F.col("alert_flag"), complemented=odd(1), inverted=odd(2))
     frames = stage(m.select("obs_id", "seconds_of_day", at.alias("at"), frame.alias("frame")))  # as a receiver's archive has them
-    got = frames.where(bits.may_be_special(F.col("frame"))).select("obs_id", "seconds_of_day", bits.parse_frame(F.col("frame"), F.col("at")).alias("f"))
+    got = frames.where(bits.may_be_special(F.col("frame"))).select("obs_id", "seconds_of_day", parse_frames(F.col("frame"), F.col("at")).alias("f"))
     return got.select("obs_id", "seconds_of_day", "f.alert_flag", F.hex("f.payload").alias("payload"), "f.subframe_id", "f.page_number", "f.sv_id", "f.parity_ok")
 
 
@@ -48,10 +49,10 @@ _INGESTED = """
 @R.query("observations_ingested", _INGESTED)
 def observations_ingested(spark, sf):
     """The log made anew from frames of every message whose file is known: decoded, described, each observation once."""
-    m = spread(table(spark, sf, "special_messages").where("year > 0 and day_of_year > 0 and source_file <> ''").select("seconds_of_day", "multiplicity", "alert_flag", "raw_bytes", "year", "day_of_year", "prn", "gps_week", "source_file"))
+    m = table(spark, sf, "special_messages").where("year > 0 and day_of_year > 0 and source_file <> ''")
     # seconds that a frame can begin at come through; others keep their place in the day by the row's own second
     tow = F.floor(F.pmod(F.col("seconds_of_day"), F.lit(86_400)) / F.lit(6)).cast("int") + 1
-    frames = stage(m.select(F.col("seconds_of_day").alias("time"), "multiplicity", bits.encode_frame(F.col("raw_bytes"), tow, F.col("alert_flag")).alias("navbits"), "year", "day_of_year", "prn", "gps_week", "source_file"))
+    frames = stage(m.select(F.col("seconds_of_day").alias("time"), "multiplicity", encode_frames(F.col("raw_bytes"), tow, F.col("alert_flag")).alias("navbits"), "year", "day_of_year", "prn", "gps_week", "source_file"))
     log = ingest(frames)
     return log.select("datetime", "prn", "message_hash", F.hex("raw_bytes").alias("payload"), "ascii_message", "alert_flag", "parity_ok", "printable_chars", "null_bytes")
 

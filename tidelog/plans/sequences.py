@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import temporal as T
 from tidelog.operators.sentinels import entries_with_exit, fleet_flashes, segments, sentinel_events, sentinel_windows
+from tidelog.functions.timefn import trunc_ntz
 from tidelog.plans.base import CHANGES, LOG, STEPS, log, steps
 from tidelog.plans.registry import Registry
 
@@ -93,13 +94,37 @@ def weekly_durations(spark, sf):
     return T.weekly_durations(steps(spark, sf)).select("prn", "week", mean6("avg_duration"), mean6("std_duration"), "num_transitions")
 
 
-@R.query("rotation_shifts")
+@R.query(
+    "rotation_shifts",
+    STEPS.replace("WITH log AS", "WITH RECURSIVE log AS", 1) + ", d AS (SELECT prn, date_trunc('week', transition_time)::TIMESTAMP AS day, avg(duration_hours) AS v FROM steps WHERE to_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2), "
+    "n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY prn) AS n, avg(v) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before, avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS after FROM d WINDOW w AS (PARTITION BY prn ORDER BY day)), "
+    "h AS (SELECT prn, day FROM n WHERE n >= 10 AND i BETWEEN 5 AND n - 4 AND abs(after - before) > 0.5 * abs(before)), "
+    "kept AS (SELECT prn, min(day) AS day FROM h GROUP BY prn UNION ALL SELECT k.prn, min(h.day) FROM kept k JOIN h ON h.prn = k.prn AND h.day > k.day + INTERVAL 56 DAY GROUP BY k.prn) SELECT prn, day AS week FROM kept",
+)
 def rotation_shifts(spark, sf):
     """Weeks in which an entity's mean hours between steps shift; weekly series of few weeks have none."""
     weekly = T.weekly_durations(steps(spark, sf)).where("num_transitions >= 2")
     return T.moving_average_shifts(weekly, "prn", "week", "avg_duration")
 
 
+_SHIFTS = """,
+    n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY prn) AS n, avg(v) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before, avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS after FROM d WINDOW w AS (PARTITION BY prn ORDER BY day)),
+    h AS (SELECT prn, day FROM n WHERE n >= 10 AND i BETWEEN 5 AND n - 4 AND abs(after - before) > 0.5 * abs(before)),
+    kept AS (SELECT prn, min(day) AS day FROM h GROUP BY prn UNION ALL SELECT k.prn, min(h.day) FROM kept k JOIN h ON h.prn = k.prn AND h.day > k.day + INTERVAL 7 DAY GROUP BY k.prn)
+    SELECT prn, day FROM kept
+"""
+
+
+@R.query(
+    "daily_rotation_shifts",
+    STEPS.replace("WITH log AS", "WITH RECURSIVE log AS", 1) + ", d AS (SELECT prn, date_trunc('day', transition_time)::TIMESTAMP AS day, avg(duration_hours) AS v FROM steps WHERE to_hash IS NOT NULL GROUP BY 1, 2)" + _SHIFTS,
+)
+def daily_rotation_shifts(spark, sf):
+    """The same for days, of which a few weeks have enough: shifts more than a week after the last one kept."""
+    daily = steps(spark, sf).where("to_hash is not null").groupBy("prn", trunc_ntz("day", "transition_time").alias("day")).agg(F.avg("duration_hours").alias("v"))
+    return T.moving_average_shifts(daily, "prn", "day", "v", min_weeks=1)
+
+
 @R.query(
     "duration_distribution",
     STEPS + "SELECT round(avg(duration_hours) + 1e-10, 6) AS mean_hours, round(stddev_samp(duration_hours) + 1e-10, 6) AS std_hours, round(min(duration_hours), 6) AS min_hours, round(max(duration_hours), 6) AS max_hours, "

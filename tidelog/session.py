@@ -63,16 +63,20 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def staged_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, released with the staged tables."""
+    return f"{shared_folder(spark)}/tidelog-{spark.sparkContext.applicationId}/{uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a read of it.
 
     Cuts the lineage like ``checkpoint()``, survives the loss of executors, is compressed, and later
     reads prune its columns. Use it where one result feeds several branches of a plan.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidelog-{spark.sparkContext.applicationId}/{uuid4().hex}"
+    path = staged_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_staged(spark: SparkSession) -> None:
@@ -82,15 +86,6 @@ def release_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its scan has fewer partitions than there are (one small file); else unchanged.
-
-    For row-wise work that costs far more than moving its input. A large table has more partitions and isn't shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cluster(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
     """``df`` with equal ``keys`` in one partition, sorted by them and ``order``, for mapInArrow over sorted groups.
 
