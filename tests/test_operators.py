@@ -243,10 +243,31 @@ def test_leave_one_out_equals_a_walk(spark):
     rnd = random.Random(2)
     corpus = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(9))) for _ in range(25)] + [b"", b"zz", b"abcabcabc", b"abcabcabc"]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(corpus)], "i int, m binary").repartition(3)
-    got = {r.i: r.bits for r in I.leave_one_out_bits(df, "i", "m", 4).collect()}
-    assert len(got) == len(corpus)
-    for i, m in enumerate(corpus):
-        assert abs(got[i] - naive_bits(corpus, m, 4)) < 1e-9
+    want = [naive_bits(corpus, m, 4) for m in corpus]
+    for bucket_rows in (1_000_000, 40, 5, 1):  # one bucket, some, and cuts nearly everywhere
+        got = {r.i: r.bits for r in I.leave_one_out_bits(df, "i", "m", 4, bucket_rows=bucket_rows).collect()}
+        assert len(got) == len(corpus)
+        assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want)), bucket_rows
+
+
+def test_leave_one_out_of_long_and_uniform_payloads(spark):
+    """A context in most rows is a cut and no bucket; payloads may be null, longer than any context and equal."""
+    rnd = random.Random(3)
+    corpus = [b" " * 60] * 4 + [b"\x00" * 30, bytes([255] * 9) + bytes(9)] + [bytes(rnd.choice(b"\x00\xffa") for _ in range(rnd.randrange(40))) for _ in range(12)]
+    df = spark.createDataFrame([(i, m, "x") for i, m in enumerate(corpus)] + [(100, None, "x")], "i int, m binary, u string").repartition(3)
+    for bucket_rows in (1_000_000, 50, 7):
+        got = {r.i: r.bits for r in I.leave_one_out_bits(df, "i", "m", bucket_rows=bucket_rows).collect()}
+        assert got.pop(100) == 0.0 and all(abs(got[i] - naive_bits(corpus, m, 8)) < 1e-9 for i, m in enumerate(corpus))
+    assert I.leave_one_out_bits(df.where("false"), "i", "m").count() == 0
+
+
+def test_models_are_scored_apart(spark):
+    rnd = random.Random(4)
+    corpora = {g: [bytes(rnd.choice(b"abcd") for _ in range(10)) for _ in range(9)] for g in (1, 2)}
+    df = spark.createDataFrame([(g, i, m) for g, ms in corpora.items() for i, m in enumerate(ms)], "g int, i int, m binary").repartition(3)
+    for bucket_rows in (1000, 10):
+        got = {(r.g, r.i): r.bits for r in I.leave_one_out_bits(df, "i", "m", 3, model="g", bucket_rows=bucket_rows).collect()}
+        assert len(got) == 18 and all(abs(got[g, i] - naive_bits(ms, m, 3)) < 1e-9 for g, ms in corpora.items() for i, m in enumerate(ms))
 
 
 def test_probabilities_sum_to_one():

@@ -1,15 +1,15 @@
-"""Compression models, leave-one-out entropy, repeated substrings and byte statistics of payloads."""
+"""Context models, repeated substrings and byte statistics of payloads."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.text import bytes_of
+from tidelog.operators.compression import leave_one_out_bits, walk_bits  # noqa: F401
 from tidelog.session import stage
 
 
@@ -26,58 +26,6 @@ def context_model(payloads: DataFrame, payload_id: str, data: str, max_order: in
     return contexts(payloads, payload_id, data, max_order).groupBy("ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def leave_one_out_bits(payloads: DataFrame, payload_id: str, data: str, max_order: int = 8, vocabulary: int = 256) -> DataFrame:
-    """(id, bits): the cost of each payload under the model of all others; an empty payload costs 0.
-
-    PPM with escapes: from the longest context down, a symbol seen c times among T of q distinct ones has
-    c / (T + q), the escape q / (T + q); symbols that a longer context has seen are excluded. A payload's own
-    occurrences are taken off the counts of its contexts. Beyond order 0 the rest of the vocabulary is uniform.
-
-    The counts of a symbol in its contexts, less the payload's own, tell the longest context that predicts it;
-    only contexts down to that one matter. A context's symbols with their counts are one row (at most 256
-    entries) that joins those positions, and the walk of one position is a group of at most ``max_order`` + 1 rows.
-    """
-    ids = stage(payloads.select(F.monotonically_increasing_id().alias("u"), F.col(payload_id).alias("id"), F.col(data).alias("payload")))
-    ctx = contexts(ids, "u", "payload", max_order).withColumnRenamed("id", "u")
-    own = ctx.groupBy("u", "ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("mine"), F.collect_list("pos").alias("at"))  # a payload's positions only
-    counts = own.groupBy("ord", "ctx", "sym").agg(F.sum("mine").alias("cnt"))
-    left = own.join(counts, ["ord", "ctx", "sym"]).select("u", "ord", "ctx", "sym", F.explode("at").alias("pos"), (F.col("cnt") > F.col("mine")).alias("known"))
-    by = W.partitionBy("u", "pos")
-    needed = left.withColumn("down_to", F.coalesce(F.max(F.when(F.col("known"), F.col("ord"))).over(by), F.lit(0))).where("ord >= down_to").select("u", "ord", "ctx", "sym", "pos")
-    nodes = counts.groupBy("ord", "ctx").agg(F.collect_list("sym").alias("syms"), F.collect_list("cnt").alias("cnts"))
-    mine = own.groupBy("u", "ord", "ctx").agg(F.collect_list("sym").alias("own"), F.collect_list("mine").alias("owns"))
-    steps = needed.join(mine, ["u", "ord", "ctx"]).join(nodes, ["ord", "ctx"]).groupBy("u", "pos").agg(F.first("sym").alias("sym"), F.sort_array(F.collect_list(F.struct("ord", "syms", "cnts", "own", "owns")), asc=False).alias("walk"))
-
-    @F.arrow_udf("double")
-    def bits(sym: pa.Array, walk: pa.Array) -> pa.Array:
-        parts = pa.chunked_array([walk]).combine_chunks() if isinstance(walk, pa.ChunkedArray) else walk
-        nodes = parts.flatten()
-        syms, cnts, own, owns = (nodes.field(n).to_pylist() for n in ("syms", "cnts", "own", "owns"))
-        ends = np.cumsum([0, *parts.value_lengths().to_pylist()]).tolist()
-        each = ([(syms[i], cnts[i], own[i], owns[i]) for i in range(a, b)] for a, b in zip(ends, ends[1:]))
-        return pa.array([walk_bits(s, w, vocabulary) for s, w in zip(sym.to_pylist(), each)], pa.float64())
-
-    cost = steps.select("u", bits("sym", "walk").alias("b")).groupBy("u").agg(F.sum("b").alias("bits"))
-    return ids.join(cost, "u", "left").select(F.col("id").alias(payload_id), F.coalesce("bits", F.lit(0.0)).alias("bits"))
-
-
-def walk_bits(symbol: int, walk: list[tuple[list, list, list, list]], vocabulary: int = 256) -> float:
-    """-log2 of one symbol's probability from (symbols, counts, own symbols, own counts) of its contexts, longest first."""
-    out, seen = 0.0, set()
-    for syms, cnts, own, owns in walk:
-        mine = dict(zip(own, owns))
-        left = {s: n for s, c in zip(syms, cnts) if s not in seen and (n := c - mine.get(s, 0)) > 0}
-        if not left:
-            continue
-        whole = sum(left.values()) + len(left)
-        if symbol in left:
-            return out - math.log2(left[symbol] / whole)
-        out -= math.log2(len(left) / whole)
-        seen |= left.keys()
-    rest = vocabulary - len(seen)
-    return out + math.log2(rest if rest > 0 else vocabulary)
-
-
 def repeated_substrings(payloads: DataFrame, payload_id: str, data: str, min_length: int = 6) -> DataFrame:
     """(substring, length, messages, occurrences) of the maximal byte strings that stand in at least two payloads.
 
@@ -132,17 +80,19 @@ def position_histogram(payloads: DataFrame, data: str) -> DataFrame:
     return payloads.select(F.posexplode(bytes_of(F.col(data))).alias("p", "byte")).groupBy((F.col("p") + 1).alias("position"), "byte").agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_payloads(spark, corpora: int, per_corpus: int, length: int, alphabet: list[int], seed: int = 42) -> DataFrame:
-    """(corpus, n, data): payloads of bytes drawn evenly from ``alphabet``; each corpus has its own random stream."""
+def random_payloads(spark, corpora: int, per_corpus: int, length: int, alphabet: list[int], seed: int = 42, block: int = 1000) -> DataFrame:
+    """(corpus, n, data): payloads of bytes drawn evenly from ``alphabet``; each ``block`` payloads of a corpus have their own random stream."""
+    blocks = max(1, -(-per_corpus // block))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.array(alphabet, np.uint8)
         for b in batches:
-            for c in b.column(0).to_pylist():
-                rows = letters[np.random.default_rng(seed + c).integers(0, len(letters), (per_corpus, length))]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * per_corpus, pa.int64()), pa.array(range(per_corpus), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["corpus", "n", "data"])
+            for c, k in (divmod(i, blocks) for i in b.column(0).to_pylist()):
+                first, last = k * block, min((k + 1) * block, per_corpus)
+                rows = letters[np.random.default_rng([seed, c, k]).integers(0, len(letters), (last - first, length))]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), pa.int64()), pa.array(range(first, last), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["corpus", "n", "data"])
 
-    return spark.range(corpora).repartition(max(1, min(corpora, 200))).mapInArrow(draw, "corpus bigint, n bigint, data binary")
+    return spark.range(corpora * blocks).mapInArrow(draw, "corpus bigint, n bigint, data binary")
 
 
 def peak_density(df: DataFrame, value: str, width: float = 0.5) -> DataFrame:

@@ -18,8 +18,8 @@ R = Registry()
 
 
 def distinct_payloads(spark, sf):
-    """(message_hash, raw_bytes) of the distinct payloads."""
-    return log(spark, sf, "raw_bytes").select("message_hash", "raw_bytes").distinct()
+    """(message_hash, raw_bytes) of the distinct payloads; deliveries repeat them, so they needn't be told apart first."""
+    return table(spark, sf, "special_messages").select(F.lower("message_hash").alias("message_hash"), "raw_bytes").distinct()
 
 
 _DISTINCT = LOG + ", d AS (SELECT message_hash, any_value(raw_bytes) AS raw_bytes, hex(any_value(raw_bytes)) AS h FROM log GROUP BY message_hash), b AS (SELECT message_hash, p, substr(h, 2 * p - 1, 2) AS x FROM d, generate_series(1, 22) AS g(p))"
@@ -175,30 +175,48 @@ def loo(spark, sf):
     return I.leave_one_out_bits(distinct_payloads(spark, sf), "message_hash", "raw_bytes", 8)
 
 
-@R.query("leave_one_out_bits")
+#: Leave-one-out bits in SQL. Symbols seen after a longer context are seen after its suffix too, so the symbols excluded at an order are those of the order above.
+_BITS = _DISTINCT + f""",
+    sy AS MATERIALIZED (SELECT message_hash, p, {_HEX} AS s FROM b),
+    cx AS MATERIALIZED (SELECT d.message_hash, p, o, substr(h, 2 * (p - o) - 1, 2 * o) AS ctx, s FROM d JOIN sy USING (message_hash), generate_series(0, 8) AS k(o) WHERE o < p),
+    al AS (SELECT o, ctx, s, count(*) AS c FROM cx GROUP BY ALL),
+    ow AS (SELECT message_hash, o, ctx, s, count(*) AS c FROM cx GROUP BY ALL),
+    nd AS (SELECT w.message_hash, w.o, w.ctx, al.s, al.c - coalesce(ow.c, 0) AS n FROM (SELECT DISTINCT message_hash, o, ctx FROM cx) w JOIN al USING (o, ctx) LEFT JOIN ow ON ow.message_hash = w.message_hash AND ow.o = w.o AND ow.ctx = w.ctx AND ow.s = al.s WHERE al.c > coalesce(ow.c, 0)),
+    lv AS MATERIALIZED (SELECT cx.message_hash, cx.p, cx.o, cx.s AS sym, nd.s, nd.n FROM cx JOIN nd USING (message_hash, o, ctx)),
+    fr AS (SELECT l.message_hash, l.p, l.o, l.sym, sum(l.n) AS t, count(*) AS q, max(CASE WHEN l.s = l.sym THEN l.n END) AS c FROM lv l WHERE NOT EXISTS (SELECT 1 FROM lv u WHERE u.message_hash = l.message_hash AND u.p = l.p AND u.o = l.o + 1 AND u.s = l.s) GROUP BY ALL),
+    st AS (SELECT *, max(CASE WHEN c IS NOT NULL THEN o END) OVER (PARTITION BY message_hash, p) AS hit FROM fr),
+    po AS (SELECT message_hash, p, sum(CASE WHEN c IS NOT NULL THEN -log2(c / (t + q)) ELSE -log2(q / (t + q)) END) AS b, max(hit) AS hit FROM st WHERE hit IS NULL OR o >= hit GROUP BY 1, 2),
+    zr AS (SELECT message_hash, p, count(*) AS known FROM lv WHERE o = 0 GROUP BY 1, 2),
+    ps AS (SELECT sy.message_hash, coalesce(b, 0) + CASE WHEN hit IS NULL THEN log2(256 - coalesce(known, 0)) ELSE 0 END AS b FROM sy LEFT JOIN po USING (message_hash, p) LEFT JOIN zr USING (message_hash, p)),
+    bits AS (SELECT message_hash, sum(b) AS bits FROM ps GROUP BY 1)
+"""
+
+
+@R.query("leave_one_out_bits", _BITS + "SELECT message_hash, round(bits, 6) AS bits FROM bits")
 def leave_one_out_bits(spark, sf):
-    return loo(spark, sf)
+    return loo(spark, sf).withColumn("bits", F.round("bits", 6))
 
 
-@R.query("leave_one_out_summary")
+@R.query(
+    "leave_one_out_summary",
+    _BITS + "SELECT count(*) AS payloads, round(avg(bits), 6) AS mean, round(stddev_samp(bits), 6) AS std, round(min(bits), 6) AS least, round(max(bits), 6) AS most, round(quantile_cont(bits, 0.1), 6) AS p10, round(quantile_cont(bits, 0.5), 6) AS p50, round(quantile_cont(bits, 0.9), 6) AS p90 FROM bits",
+)
 def leave_one_out_summary(spark, sf):
-    b = loo(spark, sf)
-    marks = F.percentile("bits", [0.1, 0.5, 0.9])
-    return b.agg(F.count(F.lit(1)).alias("payloads"), F.avg("bits").alias("mean"), F.stddev_samp("bits").alias("std"), F.min("bits").alias("least"), F.max("bits").alias("most"), marks.alias("p10_p50_p90"))
+    b = stage(loo(spark, sf))
+    s = b.agg(F.count(F.lit(1)).alias("payloads"), F.avg("bits").alias("mean"), F.stddev_samp("bits").alias("std"), F.min("bits").alias("least"), F.max("bits").alias("most"))
+    q = stats.exact_quantiles(b, "bits", [0.1, 0.5, 0.9]).select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
+    both = s.join(F.broadcast(q))
+    return both.select("payloads", *(F.round(c, 6).alias(c) for c in both.columns if c != "payloads"))
 
 
 @R.query("random_baseline")
 def random_baseline(spark, sf):
-    """Cost of random payloads over the log's alphabet, as many a corpus as the log has, in 3 corpora."""
-    d = distinct_payloads(spark, sf)
+    """Cost of random payloads over the log's alphabet, as many a corpus as the log has, in 100 corpora."""
+    d = stage(distinct_payloads(spark, sf))
     letters = sorted(r["byte"] for r in I.byte_histogram(d, "raw_bytes").collect())  # at most 256
-    n = d.count()
-    drawn = I.random_payloads(spark, 3, n, 22, letters)
-    out = None
-    for c in range(3):
-        one = I.leave_one_out_bits(drawn.where(F.col("corpus") == c), "n", "data", 8).agg(F.lit(c).alias("corpus"), F.count(F.lit(1)).alias("payloads"), F.avg("bits").alias("mean"), F.stddev_samp("bits").alias("std"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    drawn = I.random_payloads(spark, 100, d.count(), 22, letters)
+    scored = I.leave_one_out_bits(drawn, "n", "data", 8, model="corpus", bucket_rows=200_000)
+    return scored.groupBy("corpus").agg(F.count(F.lit(1)).alias("payloads"), F.avg("bits").alias("mean"), F.stddev_samp("bits").alias("std"))
 
 
 _SUBSTRINGS = _DISTINCT + """,

@@ -86,11 +86,13 @@ def release_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cluster(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+def cluster(df: DataFrame, keys: list[str], order: list[str] = (), partitions: int | None = None) -> DataFrame:
     """``df`` with equal ``keys`` in one partition, sorted by them and ``order``, for mapInArrow over sorted groups.
 
     Spark leaves out a repartition whose child is partitioned that way already, and a sort likewise; but when it
     then turns the join below into a broadcast join at run time, nothing above demands either and groups are
-    torn. A hash of the keys is a partitioning that no child has, so the shuffle and the sort stay.
+    torn. A hash of the keys is a partitioning that no child has, so the shuffle and the sort stay. A given
+    number of ``partitions`` is kept, where Spark would put small ones together.
     """
-    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+    spread = [F.xxhash64(*keys)] if partitions is None else [partitions, F.xxhash64(*keys)]
+    return df.repartition(*spread).sortWithinPartitions(*keys, *order)
