@@ -422,6 +422,17 @@ def test_streamed_periods(spark, tmp_path):
     assert hour(next(r for r in rows if r.prn == "1").next_start_us) == 10
 
 
+def test_streamed_periods_let_go_of_the_past(spark, tmp_path):
+    from tidelog.streaming.stateful import stream_periods
+
+    schema = "prn int, a timestamp_ntz, b timestamp_ntz"
+    at = lambda h: T0 + H * h
+    batches = [[(1, at(0), at(1)), (1, at(20), at(21))], [(1, at(0), at(22)), (1, at(19), at(20))]]
+    rows = stream(spark, tmp_path, schema, batches, lambda d: stream_periods(d, "prn", "a", "b", keep_us=5 * 3_600_000_000), "update")
+    hour = lambda us: (us - round((T0 - datetime(1970, 1, 1)).total_seconds() * 1e6)) // 3_600_000_000
+    assert [(hour(r.start_us), hour(r.stop_us)) for r in rows] == [(0, 1), (20, 21), (19, 21)]
+
+
 def test_streamed_changes_and_counts(spark, tmp_path):
     from tidelog.streaming.stateful import stream_changes
     from tidelog.streaming.windows import stream_daily_counts, stream_exactly_once
@@ -431,6 +442,10 @@ def test_streamed_changes_and_counts(spark, tmp_path):
     batches = [[(1, at(1), "b"), (1, at(0), "a"), (2, at(0), "a")], [(1, at(2), "b"), (1, at(3), "c"), (2, at(1), "a")]]
     rows = stream(spark, tmp_path, schema, batches, lambda d: stream_changes(d, "prn", "t", "h"), "append")
     assert [(r.prn, r.from_payload, r.to_payload) for r in rows] == [("1", "a", "b"), ("1", "b", "c")]
+    (tmp_path / "z").mkdir()
+    late = [[(1, at(0), "a")], [(1, at(50), "b")], [(9, at(1), "x")], [(9, at(49.5), "y")], [(9, at(51), "z")]]  # entity 9's first row is beyond the watermark
+    rows = stream(spark, tmp_path / "z", schema, late, lambda d: stream_changes(d, "prn", "t", "h"), "append")
+    assert [(r.prn, r.from_payload, r.to_payload) for r in rows] == [("1", "a", "b"), ("9", "y", "z")]
     (tmp_path / "x").mkdir()
     copies = [[(1, at(1), "b"), (1, at(1), "b")], [(1, at(1), "b"), (1, at(2), "c")]]
     assert sorted(r.h for r in stream(spark, tmp_path / "x", schema, copies, lambda d: stream_exactly_once(d, ["prn", "h"], "t"), "append")) == ["b", "c"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidelog.functions.bits import let
 from tidelog.functions.timefn import from_year_day
 
 # The code page's glyphs of the bytes 1 to 31.
@@ -20,7 +21,7 @@ def code_page() -> list[str]:
 
 def bytes_of(data: Column) -> Column:
     """A binary's bytes as an array of ints; empty for an empty binary."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
+    codes = F.transform(F.split(F.decode(data, "ISO-8859-1"), r"(?!^)(?!\z)"), F.ascii)
     return F.when(F.octet_length(data) > 0, codes).when(data.isNotNull(), F.expr("cast(array() as array<int>)"))
 
 
@@ -33,17 +34,19 @@ def decode_message(data: Column) -> Column:
     return F.translate(latin, "".join(a for a, _ in moved), "".join(b for _, b in moved))
 
 
-def entropy(data: Column) -> Column:
-    """Shannon entropy in bits per byte; 0 for an empty binary."""
-    from tidelog.functions.bits import let
-
-    n = F.octet_length(data).cast("double")
+def _entropy(codes: Column) -> Column:
+    """Bits per byte of an array of byte values, by one walk over it in sorted order."""
+    n = F.size(codes).cast("double")
+    term = lambda run: run * F.log2(run)
+    start = F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("run"), F.lit(0.0).alias("s"))
+    step = lambda x, b: F.struct(b.alias("at"), F.when(b == x["at"], x["run"] + 1.0).otherwise(1.0).alias("run"), F.when(b == x["at"], x["s"]).otherwise(x["s"] + term(x["run"])).alias("s"))
+    total = F.aggregate(F.sort_array(codes), start, step, lambda x: x["s"] + term(x["run"]))
+    return F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0))).otherwise(0.0)
 
-    def of(a: Column) -> Column:
-        share = lambda x: F.size(F.filter(a, lambda y: y == x)) / n
-        return F.aggregate(F.array_sort(F.array_distinct(a)), F.lit(0.0), lambda s, x: let(share(x), lambda p: s - p * F.log2(p)))
 
-    return let(bytes_of(data), of)
+def entropy(data: Column) -> Column:
+    """Shannon entropy in bits per byte; 0 for an empty binary."""
+    return let(bytes_of(data), lambda a: F.when(a.isNotNull(), _entropy(a)))
 
 
 def printable_count(data: Column) -> Column:
@@ -55,12 +58,22 @@ def null_count(data: Column) -> Column:
 
 
 def likely_text(data: Column, printable: float = 0.70, entropy_below: float = 4.5, nulls_below: float = 0.50) -> Column:
-    n = F.octet_length(data).cast("double")
-    return F.when(F.octet_length(data) > 0, (printable_count(data) / n >= printable) & (entropy(data) < entropy_below) & (null_count(data) / n < nulls_below)).when(data.isNotNull(), F.lit(False))
+    return let(message_counts(data), lambda c: _is_text(c, printable, entropy_below, nulls_below))
+
+
+def message_counts(data: Column) -> Column:
+    """struct(n, printable_chars, null_bytes, entropy), from the bytes taken apart once; null for null."""
+    counts = lambda a: F.struct(F.size(a).alias("n"), F.size(F.filter(a, lambda b: b.between(0x20, 0x7E))).alias("printable_chars"), F.size(F.filter(a, lambda b: b == 0)).alias("null_bytes"), _entropy(a).alias("entropy"))
+    return let(bytes_of(data), lambda a: F.when(a.isNotNull(), counts(a)))
+
+
+def _is_text(c: Column, printable: float = 0.70, entropy_below: float = 4.5, nulls_below: float = 0.50) -> Column:
+    n = F.nullif(c["n"], F.lit(0)).cast("double")
+    return F.when(c["n"] > 0, (c["printable_chars"] / n >= printable) & (c["entropy"] < entropy_below) & (c["null_bytes"] / n < nulls_below)).when(c.isNotNull(), F.lit(False))
 
 
 def message_stats(data: Column) -> Column:
-    return F.struct(likely_text(data).alias("is_likely_text"), printable_count(data).alias("printable_chars"), null_count(data).alias("null_bytes"), entropy(data).alias("entropy"))
+    return let(message_counts(data), lambda c: F.struct(_is_text(c).alias("is_likely_text"), c["printable_chars"].alias("printable_chars"), c["null_bytes"].alias("null_bytes"), c["entropy"].alias("entropy")))
 
 
 def message_hash(data: Column) -> Column:

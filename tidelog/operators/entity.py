@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def entity_payloads(log: DataFrame, entity: str = "prn", time: str = "datetime", payload: str = "message_hash") -> DataFrame:
@@ -60,7 +60,10 @@ def entity_overlap(log: DataFrame, entity: str = "prn", payload: str = "message_
     each = log.where(F.col(entity).isNotNull() & F.col(payload).isNotNull()).select(F.col(entity).alias("prn"), F.col(payload).alias("h")).distinct()
     sizes = each.groupBy("prn").agg(F.count(F.lit(1)).alias("n"))
     common = each.select("h", F.col("prn").alias("prn1")).join(each.select("h", F.col("prn").alias("prn2")), "h").where("prn1 < prn2").groupBy("prn1", "prn2").agg(F.count(F.lit(1)).alias("common"))
-    a, b = sizes.select(F.col("prn").alias("prn1"), F.col("n").alias("n1")), sizes.select(F.col("prn").alias("prn2"), F.col("n").alias("n2"))
-    pairs = a.join(b, F.col("prn1") < F.col("prn2")).join(common, ["prn1", "prn2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
+    # entities are numbered in order, so each one's partners are a sequence of numbers
+    numbered = sizes.select("prn", "n", F.row_number().over(W.orderBy("prn")).alias("no"))
+    most = numbered.agg(F.max("no").alias("most"))
+    a = numbered.join(F.broadcast(most)).where("no < most").select(F.col("prn").alias("prn1"), F.col("n").alias("n1"), F.explode(F.sequence(F.col("no") + 1, F.col("most"))).alias("no"))
+    pairs = a.join(numbered.select("no", F.col("prn").alias("prn2"), F.col("n").alias("n2")), "no").drop("no").join(common, ["prn1", "prn2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
     union = F.col("n1") + F.col("n2") - F.col("common")
     return pairs.select("prn1", "prn2", "common", (F.col("n1") - F.col("common")).alias("only_first"), (F.col("n2") - F.col("common")).alias("only_second"), union.alias("either"), (F.col("common") / union).alias("jaccard"))

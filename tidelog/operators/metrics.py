@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidelog.functions.text import is_sentinel
 from tidelog.functions.timefn import trunc_ntz
@@ -70,12 +70,14 @@ def behavioral_metrics(log: DataFrame) -> DataFrame:
 def silent_periods(active: DataFrame, entity: str = "prn", period: str = "period_start") -> DataFrame:
     """The periods, of those any entity has, in which an entity has no row though it has earlier and later ones.
 
-    An entity's range is expanded over the distinct periods, which are few (weeks), by a join on bounds.
+    Periods are numbered in order, so an entity's range is a sequence of numbers and joins them by equality;
+    distinct periods are few (weeks).
     """
-    periods = active.select(F.col(period)).distinct()
-    spans = active.groupBy(entity).agg(F.min(period).alias("_a"), F.max(period).alias("_b"))
-    all_of = spans.join(periods, (F.col(period) > F.col("_a")) & (F.col(period) < F.col("_b"))).select(period, entity)
-    return all_of.join(active.select(period, entity), [period, entity], "left_anti")
+    number = F.row_number().over(W.orderBy(period)).alias("_no")
+    periods = active.select(F.col(period)).distinct().select(period, number)
+    spans = active.join(periods, period).groupBy(entity).agg(F.min("_no").alias("_a"), F.max("_no").alias("_b")).where("_b > _a + 1")
+    inside = spans.select(entity, F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)).alias("_no")).join(periods, "_no").select(period, entity)
+    return inside.join(active.select(period, entity), [period, entity], "left_anti")
 
 
 def relative_to_fleet(metrics: DataFrame) -> DataFrame:

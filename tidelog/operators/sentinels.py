@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidelog.functions.text import sentinel_class
 from tidelog.functions.timefn import days_between
 from tidelog.operators.nearby import first_after
-from tidelog.operators.neighbours import with_neighbour
+from tidelog.operators.neighbours import with_neighbours
 
 
 def sentinel_windows(log: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def sentinel_events(log: DataFrame) -> DataFrame:
     entropy before enters.
     """
     once = log.groupBy("prn", "datetime").agg(F.min_by(F.struct("ascii_message", "entropy"), "message_hash").alias("_p")).select("prn", "datetime", "_p.*")
-    seen = with_neighbour(with_neighbour(once, "prn", ["datetime"], {"prev_entropy": "entropy"}, forward=False), "prn", ["datetime"], {"next_entropy": "entropy"})
+    seen = with_neighbours(once, "prn", ["datetime"], {"next_entropy": "entropy"}, {"prev_entropy": "entropy"})
     kinds = F.array_compact(F.array(F.when(F.col("prev_entropy").isNull() | (F.col("prev_entropy") > 0), F.lit("enter")), F.when(F.col("next_entropy") > 0, F.lit("exit"))))
     return seen.where("entropy = 0").select("prn", sentinel_class(F.col("ascii_message")).alias("sentinel_type"), F.explode(kinds).alias("event_type"), F.col("datetime").alias("event_date"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidelog.operators.temporal import observation_steps
 from tidelog.plans.registry import table
+from tidelog.session import stage_once
 
 #: The log as the reports use it: one row per (datetime, prn, message_hash), the first delivered.
 LOG = """
@@ -23,14 +24,18 @@ CHANGES = STEPS + """,
 """
 
 
+_COLUMNS = ["obs_id", "source_file", "ascii_message", "raw_bytes", "entropy"]
+
+
 def log(spark, sf, *columns: str) -> DataFrame:
-    """The log with the key and the given columns; min_by combines copies before the one shuffle."""
-    m = table(spark, sf, "special_messages").select("datetime", "prn", F.lower("message_hash").alias("message_hash"), "obs_id", *(c for c in columns if c != "obs_id"))
-    rest = [c for c in ("obs_id", *columns) if c in columns]
-    g = m.groupBy("datetime", "prn", "message_hash")
-    if not rest:
-        return m.select("datetime", "prn", "message_hash").distinct()
-    return g.agg(F.min_by(F.struct(*dict.fromkeys(rest)), "obs_id").alias("_m")).select("datetime", "prn", "message_hash", "_m.*")
+    """The log with the key and the given columns; the first query of a session writes it, min_by combining copies before the one shuffle, and the others read it."""
+
+    def build() -> DataFrame:
+        m = table(spark, sf, "special_messages").select("datetime", "prn", F.lower("message_hash").alias("message_hash"), *_COLUMNS)
+        first = m.groupBy("datetime", "prn", "message_hash").agg(F.min_by(F.struct(*_COLUMNS), "obs_id").alias("_m"))
+        return first.select("datetime", "prn", "message_hash", "_m.*")
+
+    return stage_once(spark, f"log of {sf}", build).select("datetime", "prn", "message_hash", *(c for c in _COLUMNS if c in columns))
 
 
 def steps(spark, sf) -> DataFrame:

@@ -79,8 +79,21 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_once(spark: SparkSession, name: str, build) -> DataFrame:
+    """The table that ``build()`` gives, staged at the first call of this application with this ``name`` and read again by later ones."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _once:
+        _once[key] = stage(build())
+    return _once[key]
+
+
+_once: dict[tuple[str, str], DataFrame] = {}
+
+
 def release_staged(spark: SparkSession) -> None:
     """Delete the tables that this application has staged; results still to be read must not depend on them."""
+    for key in [k for k in _once if k[0] == spark.sparkContext.applicationId]:
+        del _once[key]
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidelog-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
