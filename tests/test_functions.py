@@ -65,7 +65,7 @@ def test_damaged_frames(spark, frames):
 
 def test_bulk_frames_equal_expressions(spark, frames):
     """Encoding and parsing of batches against the column expressions: every polarity, damaged, foreign, short and missing frames."""
-    from tidelog.functions.frames import encode_frames, parse_frames
+    from tidelog.functions.frames import encode_frames, with_parsed
 
     bulk = frames.select("frame", encode_frames(F.col("message"), F.col("tow"), None, F.col("complemented"), F.col("inverted")).alias("bulk")).collect()
     assert all(r.frame == r.bulk for r in bulk)
@@ -79,10 +79,11 @@ def test_bulk_frames_equal_expressions(spark, frames):
             rows.append((bytes(b), rnd.choice([secs, secs, None, 0])))
     rows += [(bytes(rnd.randrange(256) for _ in range(38)), 60) for _ in range(100)] + [(rows[0][0][:37], 0), (b"", 0), (None, 0), (None, None)]
     df = spark.createDataFrame(rows, "f binary, s int").repartition(3)
-    got = df.select(bits.parse_frame(F.col("f"), F.col("s")).alias("a"), parse_frames(F.col("f"), F.col("s")).alias("b"), bits.parse_frame(F.col("f")).alias("c"), parse_frames(F.col("f")).alias("d")).collect()
+    both = with_parsed(with_parsed(df, "f", "s", "b"), "f", None, "d")
+    got = both.select(bits.parse_frame(F.col("f"), F.col("s")).alias("a"), "b", bits.parse_frame(F.col("f")).alias("c"), "d").collect()
     assert len(got) == len(rows) and all(r.a == r.b and r.c == r.d for r in got)
     assert len({(r.a.page_number, r.a.parity_ok, r.a.inverted) for r in got if r.a}) > 5
-    assert df.where("false").select(parse_frames(F.col("f"))).count() == 0
+    assert with_parsed(df.where("false"), "f").count() == 0
 
 
 def test_time_of_week_wraps(spark):
@@ -122,7 +123,7 @@ def test_message_statistics(spark):
     assert got[0] == (False, 0, 0, 0.0) and got[1] == (True, 4, 0, 0.0) and got[2][3] == 1.0 and got[3][:3] == (False, 1, 3) and got[4][0] is True
 
 
-@pytest.mark.parametrize("text,filler,kind,same", [(" " * 22, True, "all_space", True), ("�" * 22, True, "all_nul", True), ("¬" * 22, True, "all_aa", True), ("", True, "unknown", True), (" ¬", False, "unknown", False), ("a" * 22, False, "unknown", True)])
+@pytest.mark.parametrize("text,filler,kind,same", [(" " * 22, True, "all_space", True), ("�" * 22, True, "all_nul", True), ("¬" * 22, True, "all_aa", True), ("", True, "all_aa", True), (" ¬", False, "unknown", False), ("a" * 22, False, "unknown", True)])
 def test_fillers(spark, text, filler, kind, same):
     r = one(spark.createDataFrame([(text,)], "t string"), X.is_sentinel(F.col("t")).alias("a"), X.sentinel_class(F.col("t")).alias("b"), X.one_character(F.col("t")).alias("c"))[0]
     assert (r.a, r.b, r.c) == (filler, kind, same)

@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidelog.functions.bits import ALL, DATA, PARITY, PREAMBLE, SPECIAL_PAGE_SV, SUBFRAME
 
@@ -79,26 +81,34 @@ def parse(frames: np.ndarray, seconds: np.ndarray | None) -> dict[str, np.ndarra
     return {"subframe_id": subframe, "special": direct | alias, "sv_id": np.where(alias, SPECIAL_PAGE_SV, sv), "alert_flag": ((plain[:, 1] >> 12) & 1) == 1, "tow": (plain[:, 1] >> 13) & 0x1FFFF, "inverted": inverted, "parity_ok": ok | turned_ok, "payload": payloads_of(clean)}
 
 
-def parse_frames(frame: Column, seconds: Column | None = None) -> Column:
-    """:func:`tidelog.functions.bits.parse_frame` over whole batches; a frame that is null or not 38 bytes gives null."""
-
-    @F.arrow_udf(PARSED)
-    def of(data: pa.Array, second: pa.Array) -> pa.Array:
-        fits, frames = matrix(data, 38)
-        got = parse(frames, second.fill_null(-1).to_numpy(zero_copy_only=False)[fits])
-        spread = np.full(len(fits), -1)
-        spread[fits] = np.arange(len(frames))
-        at = pa.array(spread, mask=~fits)
-        column = lambda values, kind, keep=None: pa.array(values, kind, mask=None if keep is None else ~keep).take(at)
-        bodies = pa.FixedSizeBinaryArray.from_buffers(pa.binary(22), len(frames), [None, pa.py_buffer(np.ascontiguousarray(got["payload"]).tobytes())]).cast(pa.binary())
-        special = got["special"]
-        fields = [
-            column(got["subframe_id"], pa.int32()), column(np.full(len(frames), 17), pa.int32(), special), column(got["sv_id"], pa.int32(), np.isin(got["subframe_id"], (4, 5))), column(got["alert_flag"], pa.bool_()),
-            column(got["tow"], pa.int32()), column(got["inverted"], pa.bool_()), column(got["parity_ok"], pa.bool_()), bodies.take(pa.array(np.where(special, np.arange(len(frames)), 0), mask=~special)).take(at),
-        ]
-        return pa.StructArray.from_arrays(fields, [f.split()[0] for f in PARSED.split(", ")], mask=pa.array(~fits))
-
-    return of(frame, F.lit(-1).cast("long") if seconds is None else seconds.cast("long"))
+def _parsed(data: pa.Array, second: pa.Array) -> pa.Array:
+    """The structs of one batch."""
+    fits, frames = matrix(data, 38)
+    got = parse(frames, second.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)[fits])
+    spread = np.full(len(fits), -1)
+    spread[fits] = np.arange(len(frames))
+    at = pa.array(spread, mask=~fits)
+    column = lambda values, kind, keep=None: pa.array(values, kind, mask=None if keep is None else ~keep).take(at)
+    bodies = pa.FixedSizeBinaryArray.from_buffers(pa.binary(22), len(frames), [None, pa.py_buffer(np.ascontiguousarray(got["payload"]).tobytes())]).cast(pa.binary())
+    special = got["special"]
+    fields = [
+        column(got["subframe_id"], pa.int32()), column(np.full(len(frames), 17), pa.int32(), special), column(got["sv_id"], pa.int32(), np.isin(got["subframe_id"], (4, 5))), column(got["alert_flag"], pa.bool_()),
+        column(got["tow"], pa.int32()), column(got["inverted"], pa.bool_()), column(got["parity_ok"], pa.bool_()), bodies.take(pa.array(np.where(special, np.arange(len(frames)), 0), mask=~special)).take(at),
+    ]
+    return pa.StructArray.from_arrays(fields, [f.split()[0] for f in PARSED.split(", ")], mask=pa.array(~fits))
+
+
+def with_parsed(df: DataFrame, frame: str, seconds: str | None = None, name: str = "f") -> DataFrame:
+    """``df`` with a struct ``name`` of what :func:`tidelog.functions.bits.parse_frame` reads, over whole batches; null for a frame that is null or not 38 bytes."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(PARSED))])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            second = pa.nulls(b.num_rows, pa.int64()) if seconds is None else b.column(names.index(seconds))
+            yield pa.RecordBatch.from_arrays([*b.columns, _parsed(b.column(names.index(frame)), second)], names)
+
+    return df.mapInArrow(run, schema)
 
 
 def encode_frames(message: Column, tow: Column, alert: Column | None = None, complemented: Column | bool = False, inverted: Column | bool = False, sv: Column | int = SPECIAL_PAGE_SV, subframe: Column | int = SUBFRAME, turned_bit: Column | int = -1) -> Column:

@@ -86,11 +86,12 @@ def visible_nulls(text: Column) -> Column:
 
 def is_sentinel(text: Column) -> Column:
     """All blanks, all NUL (shown as the replacement character) or all ¬; an empty text counts."""
-    return text.rlike("^( *|�*|¬*)$")
+    return text.rlike(r"^( *|�*|¬*)\z")
 
 
 def sentinel_class(text: Column) -> Column:
-    return F.when(text.rlike("^¬+$"), "all_aa").when(text.rlike("^�+$"), "all_nul").when(text.rlike("^ +$"), "all_space").otherwise("unknown")
+    """Which of the three an all-equal text is; an empty one counts as the first."""
+    return F.when(text.rlike(r"^¬*\z"), "all_aa").when(text.rlike(r"^�*\z"), "all_nul").when(text.rlike(r"^ *\z"), "all_space").otherwise("unknown")
 
 
 def one_character(text: Column, length: int = 22) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions import bits, text as X
-from tidelog.functions.frames import parse_frames
+from tidelog.functions.frames import with_parsed
 from tidelog.functions.timefn import from_year_day
 
 #: The log's columns, in order.
@@ -22,7 +22,7 @@ def decode_observations(frames: DataFrame) -> DataFrame:
     null or of another size, or whose file doesn't say year and day, come out without datetime or not at all.
     """
     some = frames.where(F.octet_length("navbits") == 38).where(bits.may_be_special(F.col("navbits")))
-    parsed = some.select("*", parse_frames(F.col("navbits"), F.col("time")).alias("f")).where("f.page_number = 17")
+    parsed = with_parsed(some, "navbits", "time").where("f.page_number = 17")
     rows = parsed.select("*", F.col("f.payload").alias("raw_bytes"), X.message_stats(F.col("f.payload")).alias("s"))
     at = F.when((F.col("year") > 0) & (F.col("day_of_year") > 0), from_year_day(F.nullif("year", F.lit(0)), "day_of_year", "time"))
     return rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as X
-from tidelog.functions.frames import encode_frames, parse_frames
+from tidelog.functions.frames import encode_frames, with_parsed
 from tidelog.operators.ingest import decode_observations
 from tidelog.plans.base import LOG, log
 from tidelog.plans.registry import Registry, table
@@ -73,7 +73,7 @@ def frames_screened(spark, sf):
     m = table(spark, sf, "special_messages").select("obs_id", "raw_bytes")
     sort = F.pmod("obs_id", F.lit(4)).cast("int")
     frame = encode_frames(F.col("raw_bytes"), F.lit(1), sv=F.when(sort == 2, 12).otherwise(55), subframe=F.when(sort == 3, 2).otherwise(4), turned_bit=F.when(sort == 1, 130).otherwise(-1))
-    seen = m.select("obs_id", sort.alias("sort"), parse_frames(frame).alias("f")).where("f.subframe_id = 4")
+    seen = with_parsed(m.select("obs_id", sort.alias("sort"), frame.alias("frame")), "frame").where("f.subframe_id = 4")
     return seen.select("obs_id", "f.parity_ok", (F.coalesce(F.col("f.page_number"), F.lit(0)) == 17).alias("special"), F.when(F.col("sort") == 0, F.hex("f.payload")).alias("payload"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import bits, stats, text as X
-from tidelog.functions.frames import encode_frames, parse_frames
+from tidelog.functions.frames import encode_frames, with_parsed
 from tidelog.functions.timefn import from_year_day
 from tidelog.operators import information as I
 from tidelog.operators.ingest import ingest
@@ -36,7 +36,7 @@ def frames_decoded(spark, sf):
     odd = lambda n: F.pmod(F.floor(F.col("obs_id") / F.lit(n)), F.lit(2)) == 1
     frame = encode_frames(F.col("raw_bytes"), tow, F.col("alert_flag"), complemented=odd(1), inverted=odd(2))
     frames = stage(m.select("obs_id", "seconds_of_day", at.alias("at"), frame.alias("frame")))  # as a receiver's archive has them
-    got = frames.where(bits.may_be_special(F.col("frame"))).select("obs_id", "seconds_of_day", parse_frames(F.col("frame"), F.col("at")).alias("f"))
+    got = with_parsed(frames.where(bits.may_be_special(F.col("frame"))), "frame", "at")
     return got.select("obs_id", "seconds_of_day", "f.alert_flag", F.hex("f.payload").alias("payload"), "f.subframe_id", "f.page_number", "f.sv_id", "f.parity_ok")
 
 

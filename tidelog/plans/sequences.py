@@ -163,7 +163,7 @@ def daily_correlation(spark, sf):
     return T.daily_correlation(steps(spark, sf), min_days=10).select("prn1", "prn2", "shared_days", r6("avg_a"), r6("avg_b"), r6("correlation"))
 
 
-_CLASS = "CASE WHEN regexp_full_match(ascii_message, '¬+') THEN 'all_aa' WHEN regexp_full_match(ascii_message, '�+') THEN 'all_nul' WHEN regexp_full_match(ascii_message, ' +') THEN 'all_space' ELSE 'unknown' END"
+_CLASS = "CASE WHEN regexp_full_match(ascii_message, '¬*') THEN 'all_aa' WHEN regexp_full_match(ascii_message, '�*') THEN 'all_nul' WHEN regexp_full_match(ascii_message, ' *') THEN 'all_space' ELSE 'unknown' END"
 _EVENTS = LOG + f""",
     once AS (SELECT * FROM (SELECT prn, datetime, ascii_message, entropy, row_number() OVER (PARTITION BY prn, datetime ORDER BY message_hash) AS k FROM log) WHERE k = 1),
     seen AS (SELECT *, lag(entropy) OVER w AS p, lead(entropy) OVER w AS n FROM once WINDOW w AS (PARTITION BY prn ORDER BY datetime)),
