@@ -17,13 +17,17 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The same vocabulary on a text that is one piece.
+ONE_PIECE = r"(?s).+"
+
+
 @lru_cache(4)
-def _encoding(path: str):
+def _encoding(path: str, pattern: str = PATTERN):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 # The characters that the pattern counts as white space.
@@ -46,7 +50,7 @@ def token_count(encoding, text: str, long_blanks: int = LONG_BLANKS) -> int:
     n, at = 0, 0
     for run in _blank_runs(long_blanks).finditer(text) if len(text) >= long_blanks else ():
         end = run.end() - (run.end() < len(text))
-        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(_encoding(encoding.name, ONE_PIECE).encode_ordinary(text[run.start() : end]))
         at = end
     return n + len(encoding.encode_ordinary(text[at:] if at else text))
 
