@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.functions.text import log_line, parse_size
+from tidelog.sources.arrow_files import filesystem
 
 # Fixed value: a row of a directory listing, with link, time and size.
 LISTED = r'<a href="([^"?]+)">[^<]*</a>\s*(?:</td><td[^>]*>)?\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2})\s*(?:</td><td[^>]*>)?\s*([0-9.]+[KMGT]?|-)'
@@ -23,9 +29,22 @@ def size_fits(expected: Column, found: Column, tolerance: float = 0.1, at_least:
 
 
 def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files below a folder."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of the files below a folder, read piece by piece, so a file may have any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                at, name = filesystem(re.sub("^file:/+", "/", path))
+                digest = hashlib.sha256()
+                with at.open_input_stream(name, compression=None) as f:
+                    while part := f.read(1 << 22):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+    return files.mapInArrow(digests, "path string, bytes bigint, sha256 string")
 
 
 def report_values(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
