@@ -51,10 +51,8 @@ INVISIBLE = [
 # Characters that separate words, besides the blanks (category Zs).
 BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 
-#: The assigned characters beyond ASCII.
-_CHARS = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) not in ("Cn", "Co")]
 _HIDDEN = {chr(c) for a, b in INVISIBLE for c in range(a, b + 1)}
-_BLANKS = {c for c in _CHARS if unicodedata.category(c) == "Zs"}
+_BLANKS = {c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Zs"}
 _SPACES = str.maketrans({c: " " for c in _BLANKS})
 _WORD = re.compile(f"[^ {BREAKS}]+")
 
@@ -194,9 +192,14 @@ def _char_class(chars: set[str]) -> str:
 
 # Ranges of letters and signs that have no twin in another script, as first and last code point.
 _PLAIN_RANGES = [(0x80, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF)]
-_SETTLED = {chr(c) for a, b in _PLAIN_RANGES for c in range(a, b + 1) if fold(chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and chr(c) not in _BLANKS | _HIDDEN}
-#: A character to look at: one that a settled text doesn't have, or that a spelling may mix with look-alikes.
-QUERY = f"[^\\x00-\\x7F{_char_class(_SETTLED)}]"
+@lru_cache(1)
+def _odd() -> str:
+    """For rlike(): a character to look at, that is one that a settled text doesn't have, or that a spelling may mix with look-alikes."""
+    other = _BLANKS | _HIDDEN
+    plain = (chr(c) for a, b in _PLAIN_RANGES for c in range(a, b + 1))
+    return f"[^\\x00-\\x7F{_char_class({c for c in plain if fold(c) == c and not unicodedata.combining(c) and c not in other})}]"
+
+
 _SPLIT = "[" + _char_class(_BLANKS | set(BREAKS) | {" "}) + "]+"
 
 
@@ -206,7 +209,8 @@ def _bare() -> tuple[str, str]:
 
     None is what can stand behind a base letter in the canonical decomposition of some character, such as accents.
     """
-    apart = {c: unicodedata.normalize("NFD", fold(c)) for c in _CHARS}
+    assigned = (c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) not in ("Cn", "Co"))
+    apart = {c: unicodedata.normalize("NFD", fold(c)) for c in assigned}
     behind = {x for d in apart.values() for x in d[1:]}
     change, drop = [], []
     for c, d in apart.items():
@@ -228,7 +232,7 @@ def is_ascii(text: Column) -> Column:
 
 
 def to_look_at(text: Column) -> Column:
-    return ~is_ascii(text) & text.rlike(QUERY)
+    return ~is_ascii(text) & text.rlike(_odd())
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
