@@ -6,6 +6,8 @@ import unicodedata
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from tidelog.llm.lookalike import ALIKE, Trie, canonical_texts, fold, look_alike_classes, look_alike_pairs, spellings, well_spelled
 from tidelog.llm.mixing import mix, schedule
 from tidelog.llm.packing import BinTree, first_fit_decreasing, pack
@@ -275,6 +277,18 @@ def test_canonical_texts_keep_rows_and_readings(spark, texts):
     assert any("привет" in c for c in forms.values())
 
 
+def test_copies_of_one_text_are_a_third_of_all_rows(spark):
+    """Copies are split by their counts; repeated rows, null ids and columns without a hash go along."""
+    copies = spark.range(6000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "'сор' as text", "map('a', 1) as more")
+    others = spark.range(6000, 18000).selectExpr("id as doc_id", "concat('text ', id) as text", "map('a', 1) as more")
+    df = copies.unionByName(copies.limit(500)).unionByName(others).unionByName(spark.sql("select 1000000L as doc_id, 'cop' as text, map('b', 2) as more")).repartition(4)
+    forms = {(r.text, r.canonical): r.n for r in canonical_texts(df, "text").where("text in ('сор', 'cop')").selectExpr("text", "canonical", "count(1) over (partition by text) as n").distinct().collect()}
+    assert forms == {("сор", "cop"): 6500, ("cop", "cop"): 1} and canonical_texts(df, "text").count() == 18501
+    classes = look_alike_classes(df, "doc_id", "text")
+    assert {(r.class_size, r.links): r.n for r in classes.groupBy("class_size", "links").agg(F.count(F.lit(1)).alias("n")).collect()} == {(6501, 1): 6500, (6501, 6500): 1}
+    assert look_alike_pairs(df.where("doc_id is not null"), "doc_id", "text").count() == 3000
+
+
 def test_look_alikes_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert look_alike_pairs(df, "doc_id", "text").count() == 0 and canonical_texts(df, "text").count() == 0

@@ -271,14 +271,14 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("sha", pa.binary()), ("canonical", pa.string())])
+    schema = pa.schema([("sha", pa.binary()), ("canonical", pa.string()), ("copies", pa.int64())])
     for b in batches:
-        sha, text, pairs = (c.to_pylist() for c in b.columns)
+        sha, text, pairs, copies = (c.to_pylist() for c in b.columns)
         out = []
         for t, p in zip(text, pairs):
             known = {x["token"]: x["spelling"] for x in p or ()}
             out.append(_WORD.sub(lambda m: known.get(m[0], m[0]), t.translate(_SPACES)))
-        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(out, pa.string())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(out, pa.string()), pa.array(copies, pa.int64())], schema=schema)
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -323,12 +323,13 @@ def spellings(docs: DataFrame, text: str, asked: DataFrame | None = None, trie_w
 
 
 def _changed_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(sha, canonical) of the distinct texts that have characters to look at."""
-    texts = stage(_texts(docs, text).where(to_look_at(F.col("_text"))).select(F.col("_sha").alias("sha"), F.col("_text").alias("text")).dropDuplicates(["sha"]))
+    """(sha, canonical, copies) of the distinct texts that have characters to look at, and how many rows hold each."""
+    looked = _texts(docs, text).where(to_look_at(F.col("_text"))).select(F.col("_sha").alias("sha"), F.col("_text").alias("text"))
+    texts = stage(looked.groupBy("sha").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     parts = stage(texts.select("sha", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token")).where(to_look_at(F.col("token"))))
     known = stage(spellings(docs, text, parts))
     pairs = salted_join(parts, known, ["token"], "n", F.col("sha")).groupBy("sha").agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
-    return texts.join(pairs, "sha", "left").select("sha", "text", "pairs").mapInArrow(_rewrite, "sha binary, canonical string")
+    return texts.join(pairs, "sha", "left").select("sha", "text", "pairs", "copies").mapInArrow(_rewrite, "sha binary, canonical string, copies bigint")
 
 
 def canonical_texts(docs: DataFrame, text: str, output: str = "canonical") -> DataFrame:
@@ -342,19 +343,30 @@ def canonical_texts(docs: DataFrame, text: str, output: str = "canonical") -> Da
     fine; all other columns are kept (an existing column ``output`` is replaced).
 
     Only texts with characters to look at are rewritten, each distinct one once; the occurrences of frequent
-    words are split by their counts.
+    words, and the copies of frequent texts, are split by their counts. All other rows pass without a shuffle.
     """
-    changed = _changed_texts(docs.select(text), text)
-    rows = _texts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).cast("string").alias("_own")), "_own").withColumnRenamed("_sha", "sha")
-    form = F.coalesce("canonical", "_own").alias(output)
-    return rows.join(changed, "sha", "left").select(*(F.col("_row")[c].alias(c) for c in docs.columns if c != output), form)
+    changed = stage(_changed_texts(docs.select(text), text))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).cast("string").alias("_own"), F.coalesce(to_look_at(F.col(text).cast("string")), F.lit(False)).alias("_look"))
+    plain = rows.where("not _look").select("_row", F.col("_own").alias("canonical"))
+    looked = _texts(rows.where("_look"), "_own").select("_row", F.col("_sha").alias("sha"))
+    # copies of one text go to parts by their other columns (of types that have a hash) and by where they are read
+    columns = [F.col("_row")[f.name] for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    joined = salted_join(looked, changed, ["sha"], "copies", F.struct(F.spark_partition_id(), *columns)).select("_row", "canonical")
+    return plain.unionByName(joined).select(*(F.col("_row")[c].alias(c) for c in docs.columns if c != output), F.col("canonical").alias(output))
 
 
-def _forms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, sha, form) of the documents with non-empty texts: the hashes of the text as stored and of its canonical form."""
+def _forms(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (id, sha, look) of the documents with non-empty texts, by the hash of the text as stored, and (sha, form, copies) of their distinct texts.
+
+    The second has texts with characters to look at, and those that one of them reads the same as; ``form`` is the
+    hash of the canonical text, which of any other text is ``sha``. Nothing is joined to single documents.
+    """
     full = docs.where(F.octet_length(F.col(text).cast("string")) > 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    changed = _changed_texts(full, "text").select("sha", F.unhex(F.sha2("canonical", 256)).alias("form"))
-    return stage(_texts(full, "text").select("id", F.col("_sha").alias("sha")).join(changed, "sha", "left").select("id", "sha", F.coalesce("form", "sha").alias("form")))
+    known = stage(_texts(full, "text").select("id", F.col("_sha").alias("sha"), to_look_at(F.col("_text")).alias("look")))
+    changed = stage(_changed_texts(full, "text").select("sha", F.unhex(F.sha2("canonical", 256)).alias("form"), "copies"))
+    counts = known.where("not look").groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
+    settled = counts.join(changed.select(F.col("form").alias("sha")).distinct(), "sha", "left_semi").select("sha", F.col("sha").alias("form"), "copies")
+    return known, stage(changed.unionByName(settled))
 
 
 def look_alike_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -364,11 +376,10 @@ def look_alike_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     documents of the class that differ as stored. Copies are counted, never paired, so a class may hold any
     share of all rows. Null and empty texts have no class; repeated rows count as documents of their own.
     """
-    known = _forms(docs, doc_id, text)
-    stored = known.groupBy("form", "sha").agg(F.count(F.lit(1)).alias("copies"))
+    known, stored = _forms(docs, doc_id, text)
     whole = stored.groupBy("form").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
     links = stage(stored.join(whole, "form").select("sha", "form", "class_size", (F.col("class_size") - F.col("copies")).alias("links"), "copies"))
-    return salted_join(known.select("id", "sha"), links, ["sha"], "copies", F.col("id")).select(F.col("id").alias(doc_id), F.hex("form").alias("form"), "class_size", "links")
+    return salted_join(known.select("id", "sha"), links, ["sha"], "copies", F.struct(F.spark_partition_id(), "id")).select(F.col("id").alias(doc_id), F.hex("form").alias("form"), "class_size", "links")
 
 
 def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -378,11 +389,11 @@ def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     canonical form are paired, which are few however many copies they have; then the copies are attached.
     The result is as long as there are pairs; :func:`look_alike_classes` says the same in a row per document.
     """
-    known = _forms(docs, doc_id, text)
-    several = known.groupBy("form").agg(F.min(F.hex("sha")).alias("x"), F.max(F.hex("sha")).alias("y")).where("x <> y").select("form")
-    forms = stage(known.join(several, "form", "left_semi"))
-    stored = forms.select("form", "sha").distinct()
+    known, stored = _forms(docs, doc_id, text)
+    several = stored.groupBy("form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form")
+    stored = stage(stored.join(several, "form"))
+    ids = stage(salted_join(known.select("id", "sha"), stored.select("sha", "copies"), ["sha"], "copies", F.struct(F.spark_partition_id(), "id")))
     pairs = stored.select("form", F.col("sha").alias("sha_a")).join(stored.select("form", F.col("sha").alias("sha_b")), "form").where("sha_a < sha_b").select("sha_a", "sha_b")
-    a, b = (forms.select(F.col("sha").alias(f"sha_{x}"), F.col("id").alias(x)) for x in "ab")
+    a, b = (ids.select(F.col("sha").alias(f"sha_{x}"), F.col("id").alias(x)) for x in "ab")
     both = pairs.join(a, "sha_a").join(b, "sha_b").where("a <> b")
     return both.select(F.least("a", "b").alias(f"{doc_id}_a"), F.greatest("a", "b").alias(f"{doc_id}_b")).distinct()
