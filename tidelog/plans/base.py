@@ -31,9 +31,12 @@ def log(spark, sf, *columns: str) -> DataFrame:
     """The log with the key and the given columns; the first query of a session writes it, min_by combining copies before the one shuffle, and the others read it."""
 
     def build() -> DataFrame:
-        m = table(spark, sf, "special_messages").select("datetime", "prn", F.lower("message_hash").alias("message_hash"), *_COLUMNS)
-        first = m.groupBy("datetime", "prn", "message_hash").agg(F.min_by(F.struct(*_COLUMNS), "obs_id").alias("_m"))
-        return first.select("datetime", "prn", "message_hash", "_m.*")
+        h = F.col("message_hash")
+        digits = h.rlike("^[0-9a-fA-F]{64}$")
+        # 64 hex digits travel as 32 bytes; any other string as it is
+        m = table(spark, sf, "special_messages").select("datetime", "prn", F.when(digits, F.unhex(h)).alias("_h"), F.when(~digits, F.lower(h)).alias("_other"), *_COLUMNS)
+        first = m.groupBy("datetime", "prn", "_h", "_other").agg(F.min_by(F.struct(*_COLUMNS), "obs_id").alias("_m"))
+        return first.select("datetime", "prn", F.coalesce(F.lower(F.hex("_h")), "_other").alias("message_hash"), "_m.*")
 
     return stage_once(spark, f"log of {sf}", build).select("datetime", "prn", "message_hash", *(c for c in _COLUMNS if c in columns))
 
