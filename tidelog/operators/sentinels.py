@@ -23,8 +23,10 @@ def sentinel_events(log: DataFrame) -> DataFrame:
     entity enters; the last doesn't exit. An unknown entropy next to it is neither, except that no known
     entropy before enters.
     """
-    once = log.groupBy("prn", "datetime").agg(F.min_by(F.struct("ascii_message", "entropy"), "message_hash").alias("_p")).select("prn", "datetime", "_p.*")
-    seen = with_neighbours(once, "prn", ["datetime"], {"next_entropy": "entropy"}, {"prev_entropy": "entropy"})
+    # by (entity, day) from the start: one shuffle serves both the choice of an observation and the neighbours
+    days = log.withColumn("_day", F.to_date("datetime")).repartition("prn", "_day")
+    once = days.groupBy("prn", "_day", "datetime").agg(F.min_by(F.struct("ascii_message", "entropy"), "message_hash").alias("_p")).select("prn", "_day", "datetime", "_p.*")
+    seen = with_neighbours(once, "prn", ["datetime"], {"next_entropy": "entropy"}, {"prev_entropy": "entropy"}, F.col("_day"))
     kinds = F.array_compact(F.array(F.when(F.col("prev_entropy").isNull() | (F.col("prev_entropy") > 0), F.lit("enter")), F.when(F.col("next_entropy") > 0, F.lit("exit"))))
     return seen.where("entropy = 0").select("prn", sentinel_class(F.col("ascii_message")).alias("sentinel_type"), F.explode(kinds).alias("event_type"), F.col("datetime").alias("event_date"))
 
