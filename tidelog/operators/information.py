@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.text import bytes_of
+from tidelog.operators.baseline import draw_block, random_bits  # noqa: F401
 from tidelog.operators.compression import leave_one_out_bits, walk_bits  # noqa: F401
 from tidelog.session import stage
 
@@ -85,11 +85,10 @@ def random_payloads(spark, corpora: int, per_corpus: int, length: int, alphabet:
     blocks = max(1, -(-per_corpus // block))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = np.array(alphabet, np.uint8)
         for b in batches:
             for c, k in (divmod(i, blocks) for i in b.column(0).to_pylist()):
                 first, last = k * block, min((k + 1) * block, per_corpus)
-                rows = letters[np.random.default_rng([seed, c, k]).integers(0, len(letters), (last - first, length))]
+                rows = draw_block(alphabet, length, seed, c, k, last - first)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), pa.int64()), pa.array(range(first, last), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["corpus", "n", "data"])
 
     return spark.range(corpora * blocks).mapInArrow(draw, "corpus bigint, n bigint, data binary")

@@ -214,8 +214,7 @@ def random_baseline(spark, sf):
     """Cost of random payloads over the log's alphabet, as many a corpus as the log has, in 100 corpora."""
     d = stage(distinct_payloads(spark, sf))
     letters = sorted(r["byte"] for r in I.byte_histogram(d, "raw_bytes").collect())  # at most 256
-    drawn = I.random_payloads(spark, 100, d.count(), 22, letters)
-    scored = I.leave_one_out_bits(drawn, "n", "data", 8, model="corpus", bucket_rows=200_000)
+    scored = I.random_bits(spark, 100, d.count(), 22, letters)
     return scored.groupBy("corpus").agg(F.count(F.lit(1)).alias("payloads"), F.avg("bits").alias("mean"), F.stddev_samp("bits").alias("std"))
 
 
