@@ -74,6 +74,33 @@ def test_the_optimum_isnt_a_threshold_between_neighbours():
     assert np.flatnonzero(segment(spike, 2.5, ConsensusCost)[0]).tolist() == [0]
 
 
+def test_neighbour_costs_keep_a_pruned_list_of_candidates():
+    """Those with best(s) + inside(s, t) < best(t), by a programme that prunes nothing; of equal sums the first."""
+    rnd = random.Random(2)
+    lists = []
+    for _ in range(100):
+        p, steps, best = Segmentation(2.5), [], [0.0]
+        for t in range(40):
+            steps.append(np.inf if not t else rnd.choice([0, 0, 1, 1, 2, 3, 4, 7]))
+            p.feed(steps[-1])
+            sums = [best[s] + sum(steps[s + 1 :]) for s in range(t + 1)]
+            best.append(min(sums) + 2.5)
+            open_ = [s for s in range(t + 1) if sums[s] < best[-1]]
+            assert p.value == best[-1] and [b.at for b in p.alive] == [s for s in open_ if sums[s] not in [sums[i] for i in open_ if i < s]]
+            lists.append(len(p.alive))
+    assert 2 <= max(lists) <= 5
+
+
+def test_seams_of_slices_with_equal_times(spark):
+    """Two runs of a day begin at once; the second goes on over midnight, and over a day of one run."""
+    a, b = b"a" * 22, b"b" * 22
+    late = T0 + timedelta(hours=23)
+    rows = [(k, late, a) for k in range(40)] + [(k, late, b) for k in range(40)] + [(k, late + timedelta(hours=h), b) for k in range(40) for h in range(2, 30, 4)]
+    df = spark.createDataFrame(rows, "prn int, t timestamp_ntz, raw binary").repartition(5)
+    got = collapse_runs(df, "prn", "t", "raw").collect()
+    assert sorted((r.prn, r.start_us, r.stop_us, r.events, bytes(r.payload)) for r in got) == sorted([(k, us(late), us(late), 1, a) for k in range(40)] + [(k, us(late), us(late + timedelta(hours=26)), 8, b) for k in range(40)])
+
+
 def test_a_long_run_holds_few_boundaries():
     rnd = random.Random(1)
     base = bytes(rnd.randrange(256) for _ in range(22))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.functions.timefn import DAY_US, micros
@@ -41,11 +41,11 @@ def neighbour_costs(payloads: list[bytes | None]) -> np.ndarray:
 class NeighbourCost:
     """Dissimilarity within a run: the sum of the differences between neighbours.
 
-    What an event adds is the same for every open candidate, so of two candidates the dearer one stays dearer:
-    ``dominated`` tells the programme to keep the cheapest only.
+    What an event adds is the same for every open candidate (``alike``), so candidates of equal sums stay equal
+    and the programme needs one of them only.
     """
 
-    dominated, missing = True, 0.0
+    alike, missing = True, 0.0
 
     def __init__(self):
         self.total, self.since = 0.0, []
@@ -73,7 +73,7 @@ class ConsensusCost:
     is what the programme's pruning needs.
     """
 
-    dominated, missing = False, b""
+    alike, missing = False, b""
 
     def __init__(self):
         self.width, self.n = 0, np.zeros(0, np.int64)
@@ -118,8 +118,8 @@ class Segmentation:
     Minimises the sum over runs of ``penalty`` plus the dissimilarity inside the run. Dynamic programming over
     the last boundary: best(t) = min over s < t of best(s) + inside(s, t) + penalty. A candidate s with
     best(s) + inside(s, t) >= best(t) is never better than t from then on and is pruned (PELT), as splitting a
-    run doesn't raise its dissimilarity; where all candidates grow alike, the cheapest alone is kept. Once one
-    candidate is left, every later segmentation goes through it: the runs before it are final and handed out,
+    run doesn't raise its dissimilarity; where all candidates grow alike, the first of those with equal sums is
+    kept, so that whole numbers of bytes leave at most twice the penalty of them. Once one candidate is left, every later segmentation goes through it: the runs before it are final and handed out,
     so what is held is the boundaries since then, whatever the length of the sequence.
     """
 
@@ -138,7 +138,12 @@ class Segmentation:
         best = sums.index(least)
         self.n, self.value, self.last = self.n + 1, least + self.penalty, self.alive[best]
         if len(sums) > 1:
-            which = [best] if self.cost.dominated else [i for i, s in enumerate(sums) if s < self.value]
+            which = [i for i, s in enumerate(sums) if s < self.value]
+            if self.cost.alike and len(which) > 1:
+                first: dict[float, int] = {}
+                for i in which:
+                    first.setdefault(sums[i], i)
+                which = list(first.values())
             if len(which) < len(sums):
                 self.alive = [self.alive[i] for i in which]
                 self.cost.keep(which)
@@ -214,6 +219,43 @@ def _runs(schema: pa.Schema, penalty: float, max_gap_us: int, cost: type):
     return run
 
 
+def _joined(schema: pa.Schema, penalty: float, max_gap_us: int):
+    """Runs across the seams of slices, from the first and the last run of each slice, sorted by entity and time.
+
+    The programme goes on over the slices of an entity and over batches, with runs as its events. The boundaries
+    inside a slice are decided: no run goes on over them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        programme = Segmentation(penalty)
+        last = None  # (entity, start, stop, events, first, final, begins its slice) of the row before
+        done: list[tuple] = []
+        events = 0  # of the entity's rows so far
+
+        def take(runs: list) -> None:
+            # marks: (entity, start, payload, stop before, events before)
+            done.extend((a.mark[0], a.mark[1], b.mark[3], b.mark[4] - a.mark[4], a.mark[2]) for a, b in runs)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                step = 0.0
+                if last is not None and last[0] != row[0]:
+                    take(programme.close((None, None, None, last[2], events)))
+                    events = 0
+                elif last is not None:
+                    step = differing(last[5], row[4]) if row[6] and row[1] - last[2] <= max_gap_us else np.inf
+                take(programme.feed(step, (row[0], row[1], row[4], last and last[2], events)))
+                events, last = events + row[3], row
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+                done.clear()
+        if last is not None:
+            take(programme.close((None, None, None, last[2], events)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    return run
+
+
 def collapse_runs(df: DataFrame, entity: str, time: str, payload: str, max_differing: int = 2, max_gap_us: int = 6 * 3_600_000_000, slice_us: int = DAY_US, cost: type = NeighbourCost) -> DataFrame:
     """Each run of near-identical consecutive events as one event.
 
@@ -232,8 +274,8 @@ def collapse_runs(df: DataFrame, entity: str, time: str, payload: str, max_diffe
     drop repeated deliveries before. Empty tables and extra columns of any name are fine.
 
     The sequence of an entity is cut into slices of ``slice_us``, so that a busy entity is many tasks. Costs
-    between neighbours make the optimum of a whole sequence consist of the optima of its slices and of the
-    decisions at their seams, which the same programme takes from two rows per slice. The consensus of a run
+    between neighbours make the optimum of a whole sequence consist of the optima of its slices and of those at
+    their seams, over which the same programme goes on with two rows per slice. The consensus of a run
     doesn't come apart like this: with it, a sequence is an entity's slice, and runs end with it.
     """
     kind = df.schema[entity].dataType
@@ -243,25 +285,12 @@ def collapse_runs(df: DataFrame, entity: str, time: str, payload: str, max_diffe
     ddl = f"k {kind.simpleString()}, slice bigint, start_us bigint, stop_us bigint, events bigint, first binary, final binary, begins boolean, ends boolean"
     runs = stage(rows.mapInArrow(_runs(pa.schema(fields), max_differing + 0.5, max_gap_us, cost), ddl))
 
-    if not cost.dominated:
+    if not cost.alike:
         return runs.select(F.col("k").alias(entity), "start_us", "stop_us", (F.col("stop_us") - F.col("start_us")).alias("duration_us"), "events", F.col("first").alias("payload"))
-    penalty = max_differing + 0.5
-
-    @F.arrow_udf("boolean")
-    def cuts(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([bool(segment([0.0, differing(x, y)], penalty)[0][1]) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
-
-    by = W.partitionBy("k").orderBy("start_us", "slice")
     edge = F.col("begins") | F.col("ends")
-    seams = (
-        runs.where(edge)
-        .withColumns({"stop_before": F.lag("stop_us").over(by), "final_before": F.lag("final").over(by)})
-        .withColumn("apart", cuts("final_before", "first"))
-        .withColumn("cut", F.when(F.col("begins") & F.col("stop_before").isNotNull() & (F.col("start_us") - F.col("stop_before") <= max_gap_us) & ~F.col("apart"), 0).otherwise(1))
-        .withColumn("run", F.sum("cut").over(by.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("k", "run")
-        .agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), F.sum("events").alias("events"), F.min_by("first", "start_us").alias("payload"))
-        .drop("run")
-    )
+    # a slice's first and last run may start at the same time
+    edges = cluster(runs.where(edge).select("k", "start_us", "stop_us", "events", "first", "final", "begins", "slice", "ends"), ["k"], ["start_us", "slice", "ends"]).drop("slice", "ends")
+    joined = pa.schema([("k", to_arrow_type(kind)), ("start_us", pa.int64()), ("stop_us", pa.int64()), ("events", pa.int64()), ("payload", pa.binary())])
+    seams = edges.mapInArrow(_joined(joined, max_differing + 0.5, max_gap_us), f"k {kind.simpleString()}, start_us bigint, stop_us bigint, events bigint, payload binary")
     inner = runs.where(~edge).select("k", "start_us", "stop_us", "events", F.col("first").alias("payload"))
     return inner.unionByName(seams).select(F.col("k").alias(entity), "start_us", "stop_us", (F.col("stop_us") - F.col("start_us")).alias("duration_us"), "events", "payload")
